@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import cascade, kdtree, mixing, rules
+from loomgraph.llm import cascade, jaccard, kdtree, licenses, mixing, rules
 
 QUERIES = {
     "op3_kdtree": kdtree.op3_kdtree,
+    "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_url_filters": cascade.op10_url_filters,
 }
 
 ORACLES = {
+    "op5_licenses": licenses.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_quality_rules": rules.ORACLE,
     "op10_url_filters": cascade.ORACLE,
