@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import cascade, jaccard, kdtree, licenses, mixing, rules
+from loomgraph.llm import cascade, classifier, decontam, jaccard, kdtree, licenses, mixing, rules
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_kdtree": kdtree.op3_kdtree,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_jaccard": jaccard.op7_jaccard,
+    "op8_quality_classifier": classifier.op8_quality_classifier,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_url_filters": cascade.op10_url_filters,
 }
