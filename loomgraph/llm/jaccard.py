@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import distinct, mix, shingles, words
 from loomgraph.operators.components import label_nodes
 from loomgraph.plans.store import discard, materialize
@@ -298,6 +299,22 @@ def _join_regions(docs: DataFrame, of_id: DataFrame, regions: DataFrame, k: int,
     return links
 
 
+def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without those whose component has a lesser id; all columns stay.
+
+    Equal rows become one.  Rows that share an id but not a text stand or fall together;
+    rows with a null id stay, since no id can stand for their group.  Only rows whose id
+    may be dropped are shuffled: a bounded bitmap lets the others through first.
+    """
+    found = jaccard_components(df, k, num, den, id_col, text)
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    odd = materialize(ids.where("low < doc_id or rows > 1").select(F.col("doc_id").alias("key"), (F.col("low") < F.col("doc_id")).alias("dropped")), "dropped")
+    own = F.col(id_col).cast("long")
+    may = maybe_in(own, odd)
+    rest = df.where(may).join(odd.where("dropped").select(F.col("key").alias("_key")), own == F.col("_key"), "left_anti").dropDuplicates()
+    return df.where(~may).unionByName(rest)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")

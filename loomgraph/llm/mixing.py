@@ -33,7 +33,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """Add weight, slope and target to (source, source_size), one row a source.
+    """Weight, slope and target for each row of (_s, source, source_size), one row a source.
 
     The excess of capped targets, reshared by weight until none is above its cap, is the
     level L with target = min(cap, L * weight) and the targets' sum as asked.  Sources
@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     found = caps.withColumns({"_level": level, "_fits": fits})
     level_of = F.first(F.when(F.col("_fits"), F.col("_level")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     target = F.least((CAP * F.col("source_size")).cast("double"), F.coalesce(F.col("_lv") * F.col("weight"), (CAP * F.col("source_size")).cast("double")))
-    return found.withColumn("_lv", level_of).withColumn("target", target).select("source", "source_size", "weight", "slope", "target")
+    return found.withColumn("_lv", level_of).withColumn("target", target).select("_s", "source_size", "weight", "slope", "target")
 
 
 def position(offset: Column, target: Column, slope: Column) -> Column:
@@ -70,31 +70,35 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
     return F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of ``df``: (doc_id, source, size, source_size, target, taken, position, second_position).
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """One row for each row of ``df``: (doc_id, size, source_size, target, taken, position, second_position).
 
     ``taken`` counts words, repeats included: whole epochs of the source, then the words
     up to the exact rest of the (rounded) target, so a source's taken words sum to its
     rounded target and no document exceeds CAP times its size.  Null text has size 0 and
     is never drawn.  Rows that repeat a doc_id are ordered by the text's crc32; the result
-    does not depend on partitioning, and equal rows are interchangeable.
+    does not depend on partitioning, and equal rows are interchangeable.  With ``carry``
+    the rows keep all columns of ``df``, in a struct ``row``.
     """
     narrow = df.select(
-        F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text).cast("string")).alias("size"),
+        F.col(id_col).alias("doc_id"), word_count(F.col(text).cast("string")).alias("size"),
+        # A key that is never null, so that the window and the join share one partitioning.
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")).alias("_s"),
         F.coalesce(F.crc32(F.col(text).cast("string")), F.lit(-1)).alias("_crc"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"),
+        *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []),
     )
-    rows = materialize(narrow.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)), "mix")
-    sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    sizes = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    rows = narrow.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    if not carry:
+        rows = materialize(rows, "mix")
+    sums = materialize(rows.groupBy("_s", "_b").agg(F.sum("size").alias("_sum")), "sums")
+    name = F.when(F.col("_s") != "-", F.expr("substring(_s, 2)"))
+    sizes = sums.groupBy("_s").agg(F.sum("_sum").alias("source_size")).withColumn("source", name)
     # One row for each source and bucket: at most 4,096 a source.
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    targets = source_targets(sizes)
-    plan = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s._b", "s._start", "t.source_size", "t.target", "t.slope")
-    inner = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "_crc", "size").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    plan = starts.join(source_targets(sizes), "_s").select("_s", "_b", "_start", "source_size", "target", "slope")
+    inner = W.partitionBy("_s", "_b").orderBy("_h", "doc_id", "_crc", "size").rowsBetween(W.unboundedPreceding, -1)
     within = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = within.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r._b") == F.col("p._b"))).select(
-        "r.doc_id", "r.source", "r.size", "p.source_size", "p.target", "p.slope", (F.col("r._in") + F.col("p._start")).alias("_at"), "r._h", "r._crc"
-    )
+    placed = within.join(plan, ["_s", "_b"]).withColumn("_at", F.col("_in") + F.col("_start"))
     want = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = want - epochs * F.col("source_size")
@@ -104,12 +108,22 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     }).withColumn("taken", F.col("_epochs") * F.col("size") + F.col("_part"))
     first = F.when(F.col("taken") > 0, position(F.col("_at").cast("double"), F.col("target"), F.col("slope")))
     second = F.when(F.col("taken") > F.col("size"), position((F.col("_at") + F.col("source_size")).cast("double"), F.col("target"), F.col("slope")))
-    return out.withColumns({"position": first, "second_position": second}).drop("_epochs", "_part", "_at", "slope")
+    return out.withColumns({"position": first, "second_position": second}).drop("_s", "_b", "_in", "_start", "_epochs", "_part", "_at", "slope")
+
 
+def mixed_documents(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as the mix trains on them, range-sorted by training position.
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """The drawn rows range-sorted by training position (ties by the hash of doc_id)."""
-    return mixed.where("taken > 0").sort("position", "_h", "doc_id", "_crc")
+    A document comes once for each epoch that takes at least half of its words, so it is
+    left out, stays, or comes twice; its columns are those of ``df``.
+    """
+    mixed = mix_sources(df, carry=True)
+    half = lambda words: 2 * words >= F.col("size")
+    drawn = F.array_compact(F.array(
+        F.when((F.col("size") > 0) & half(F.least("taken", "size")), F.col("position")),
+        F.when((F.col("taken") > F.col("size")) & half(F.col("taken") - F.col("size")), F.col("second_position")),
+    ))
+    return mixed.select("row", "_h", "_crc", F.explode(drawn).alias("at")).sort("at", "_h", "_crc").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

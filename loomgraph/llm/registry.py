@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import cascade, classifier, decontam, jaccard, kdtree, licenses, mixing, rules
+from loomgraph.llm import cascade, chat, classifier, decontam, fixity, jaccard, kdtree, licenses, mixing, rules
 
 QUERIES = {
+    "op1_fixity": fixity.op1_fixity,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_kdtree": kdtree.op3_kdtree,
+    "op4_perspectives": chat.op4_perspectives,
     "op5_licenses": licenses.op5_licenses,
     "op6_mixing": mixing.op6_mixing,
     "op7_jaccard": jaccard.op7_jaccard,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_fixity": fixity.ORACLE,
+    "op4_perspectives": chat.ORACLE,
     "op5_licenses": licenses.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_quality_rules": rules.ORACLE,

@@ -134,6 +134,16 @@ def quality_rules(df: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFr
     return quality_metrics(df, text).withColumns({"base_failed": base_failed(), "kept": compiled(rules)})
 
 
+def kept_rows(df: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with the columns of ``df`` alone.
+
+    The verdict is made to look non-deterministic, so that the optimizer filters on the
+    finished column instead of copying the whole expression tree below every projection.
+    """
+    judged = quality_rules(df.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", rules)
+    return judged.select("row", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("kept")).where("kept").select("row.*")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = quality_rules(docs)
