@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.store import discard, materialize
+from loomgraph.plans.store import discard, materialize, ship_package
 
 BUDGET = 50_000
 JUMPS = 3
@@ -46,6 +46,7 @@ def label_nodes(edges: DataFrame, src: str = "src", dst: str = "dst", budget: in
 
     Rows with a null end and loops name no link; ``edges`` may repeat and run either way.
     """
+    ship_package(edges.sparkSession)
     kind = edges.schema[src].dataType
     links = edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).distinct()
     links = materialize(links, "links")
