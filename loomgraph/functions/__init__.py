@@ -1 +1 @@
-"""Functions of the graph engine."""
+"""Column functions of the graph engine."""

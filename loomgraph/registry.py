@@ -1,4 +1,301 @@
-"""The registered graph queries and their SQL oracles."""
+"""The registered graph queries and their SQL oracles (DuckDB)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions.sketch import A, B, PHI, Q, TOP_BIT
+from loomgraph.operators import bfs as search
+from loomgraph.operators import components as cc
+from loomgraph.operators import cover, forest, grouping, matching, model, sketch
+from loomgraph.plans.fixtures import graph, graph_sql
+from loomgraph.sources.text import decode_adjacency, encode_adjacency
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _add(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _c(name: str) -> str:
+    """The canonical edges of a graph, ranked, as the start of a WITH clause."""
+    return (
+        f"RECURSIVE raw AS ({graph_sql(name)}), e AS (SELECT min(weight) AS weight, least(src, dst) AS src, greatest(src, dst) AS dst FROM raw WHERE src <> dst GROUP BY least(src, dst), greatest(src, dst)), "
+        "k AS (SELECT *, row_number() OVER (ORDER BY weight, src, dst) AS i FROM e), u AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)"
+    )
+
+
+LABELS = "r(v, l) AS (SELECT a, a FROM u UNION SELECT u.b, r.l FROM r JOIN u ON r.v = u.a WHERE r.l < u.b), c AS (SELECT v AS node, min(l) AS component FROM r GROUP BY v)"
+GREEDY = (
+    "g(i, used, hit) AS (SELECT 0::BIGINT, []::BIGINT[], false UNION ALL SELECT k.i, CASE WHEN list_contains(g.used, k.src) OR list_contains(g.used, k.dst) THEN g.used ELSE list_concat(g.used, [k.src, k.dst]) END, "
+    "NOT (list_contains(g.used, k.src) OR list_contains(g.used, k.dst)) FROM g JOIN k ON k.i = g.i + 1), m AS (SELECT k.weight, k.src, k.dst FROM g JOIN k ON k.i = g.i WHERE g.hit)"
+)
+FOREST = (
+    "vs AS (SELECT list(DISTINCT a) AS vs FROM u), ix AS (SELECT unnest(vs) AS v, unnest(range(1, len(vs) + 1)) AS p FROM vs), kk AS (SELECT k.*, x.p AS sp, y.p AS dp FROM k JOIN ix x ON k.src = x.v JOIN ix y ON k.dst = y.v), "
+    "f(i, m, hit) AS (SELECT 0::BIGINT, range(1, len(vs) + 1), false FROM vs UNION ALL SELECT kk.i, CASE WHEN f.m[kk.sp] = f.m[kk.dp] THEN f.m ELSE list_transform(f.m, lambda x: CASE WHEN x = greatest(f.m[kk.sp], f.m[kk.dp]) THEN least(f.m[kk.sp], f.m[kk.dp]) ELSE x END) END, "
+    "f.m[kk.sp] <> f.m[kk.dp] FROM f JOIN kk ON kk.i = f.i + 1), t AS (SELECT k.weight, k.src, k.dst FROM f JOIN k ON k.i = f.i WHERE f.hit)"
+)
+TOPUP = "b AS (SELECT src AS v FROM m UNION SELECT dst FROM m), tu AS (SELECT DISTINCT weight, src, dst FROM (SELECT k.*, u.a, row_number() OVER (PARTITION BY u.a ORDER BY k.i) AS n FROM k JOIN u ON (u.a = k.src AND u.b = k.dst) OR (u.a = k.dst AND u.b = k.src) WHERE u.a NOT IN (SELECT v FROM b)) WHERE n = 1)"
+
+
+@_add("edge_scan_canonical", f"WITH {_c('sparse')} SELECT weight, src, dst FROM e")
+def edge_scan_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return model.canonical(graph(spark, d, "sparse"))
+
+
+@_add("unit_weight_edges", f"WITH {_c('sparse')} SELECT 1::BIGINT AS weight, src, dst FROM e")
+def unit_weight_edges(spark, d):
+    return model.unit_weights(model.canonical(graph(spark, d, "sparse")))
+
+
+@_add("graph_union", f"WITH a AS ({graph_sql('sparse')} UNION ALL {graph_sql('orders')}) SELECT min(weight) AS weight, least(src, dst) AS src, greatest(src, dst) AS dst FROM a GROUP BY ALL")
+def graph_union(spark, d):
+    return model.graph_union(graph(spark, d, "sparse"), graph(spark, d, "orders"))
+
+
+@_add("vertex_count", f"WITH {_c('full')} SELECT count(DISTINCT a) AS vertices FROM u")
+def vertex_count(spark, d):
+    return model.vertices(graph(spark, d, "full")).agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@_add("vertex_degree", f"WITH {_c('full')} SELECT a AS vertex, count(*) AS degree FROM u GROUP BY a")
+def vertex_degree(spark, d):
+    return model.degrees(model.canonical(graph(spark, d, "full")))
+
+
+ADJACENCY = f"WITH {_c('sparse')} SELECT a || chr(9) || string_agg(b::VARCHAR, ',' ORDER BY b) || '|' || CASE WHEN a = (SELECT min(a) FROM u) THEN '0|GRAY' ELSE 'Integer.MAX|WHITE' END AS record FROM u GROUP BY a"
+
+
+def _records(spark, d):
+    edges = model.canonical(graph(spark, d, "sparse"))
+    return model.adjacency(edges, _first(edges))
+
+
+def _first(edges):
+    return edges.agg(F.min(F.least("src", "dst")).alias("vertex"))
+
+
+@_add("adjacency_records", ADJACENCY)
+def adjacency_records(spark, d):
+    return _records(spark, d).select(encode_adjacency().alias("record"))
+
+
+@_add("adjacency_roundtrip", ADJACENCY)
+def adjacency_roundtrip(spark, d):
+    lines = _records(spark, d).select(encode_adjacency().alias("value"))
+    return lines.select(*decode_adjacency(F.col("value"))).select(encode_adjacency().alias("record"))
+
+
+def _labels(spark, d, name="sparse"):
+    return cc.connected_components(graph(spark, d, name))
+
+
+@_add("components", f"WITH {_c('sparse')}, {LABELS} SELECT node, component FROM c")
+def components(spark, d):
+    return _labels(spark, d)
+
+
+@_add("components_orders", f"WITH {_c('orders')}, {LABELS} SELECT node, component FROM c")
+def components_orders(spark, d):
+    return _labels(spark, d, "orders")
+
+
+@_add("component_members", f"WITH {_c('sparse')}, {LABELS} SELECT component, string_agg(node::VARCHAR, ',' ORDER BY node) AS members FROM c GROUP BY component")
+def component_members(spark, d):
+    return grouping.component_members(_labels(spark, d)).select("component", F.array_join("members", ",").alias("members"))
+
+
+@_add("component_edges", f"WITH {_c('sparse')}, {LABELS} SELECT component, src, dst FROM e JOIN c ON e.src = c.node")
+def component_edges(spark, d):
+    edges = model.canonical(graph(spark, d, "sparse"))
+    return grouping.component_edges(edges, cc.connected_components(edges))
+
+
+@_add("component_count", f"WITH {_c('orders')}, {LABELS} SELECT count(DISTINCT component) AS components FROM c")
+def component_count(spark, d):
+    return grouping.component_count(_labels(spark, d, "orders"))
+
+
+@_add("msf_edges", f"WITH {_c('sparse')}, {FOREST} SELECT * FROM t")
+def msf_edges(spark, d):
+    return forest.spanning_forest(graph(spark, d, "sparse"))
+
+
+@_add("msf_total_weight", f"WITH {_c('sparse')}, {FOREST} SELECT sum(weight)::BIGINT AS weight, count(*) AS edges FROM t")
+def msf_total_weight(spark, d):
+    return forest.spanning_forest(graph(spark, d, "sparse")).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("edges"))
+
+
+@_add("msf_full")
+def msf_full(spark, d):
+    return forest.spanning_forest(graph(spark, d, "full"))
+
+
+def _bfs_sql(start: str) -> str:
+    return f"WITH {_c('sparse')}, r(v, dist) AS (SELECT a, 0 FROM u WHERE {start} UNION SELECT u.b, r.dist + 1 FROM r JOIN u ON r.v = u.a WHERE r.dist < 40), h AS (SELECT v AS vertex, min(dist) AS distance FROM r GROUP BY v)"
+
+
+ONE, MANY = "a = (SELECT min(a) FROM u)", "a % 97 = 1"
+
+
+@_add("bfs_levels", f"{_bfs_sql(ONE)} SELECT vertex, distance FROM h")
+def bfs_levels(spark, d):
+    edges = graph(spark, d, "sparse")
+    return search.bfs(edges, _first(edges))
+
+
+@_add("bfs_frontier_sizes", f"{_bfs_sql(ONE)} SELECT distance, count(*) AS vertices FROM h GROUP BY distance")
+def bfs_frontier_sizes(spark, d):
+    return bfs_levels(spark, d).groupBy("distance").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@_add("bfs_multi_source", f"{_bfs_sql(MANY)} SELECT vertex, distance FROM h")
+def bfs_multi_source(spark, d):
+    edges = graph(spark, d, "sparse")
+    return search.bfs(edges, model.vertices(edges).where("vertex % 97 = 1"))
+
+
+@_add("bfs_records", f"{_bfs_sql(ONE)} SELECT DISTINCT a AS id, distance, CASE WHEN distance IS NULL THEN 'WHITE' ELSE 'BLACK' END AS color FROM u LEFT JOIN h ON u.a = h.vertex")
+def bfs_records(spark, d):
+    return search.bfs_records(_records(spark, d)).select("id", "distance", "color")
+
+
+@_add("maximal_matching", f"WITH {_c('sparse')}, {GREEDY} SELECT * FROM m")
+def maximal_matching(spark, d):
+    return matching.maximal_matching(graph(spark, d, "sparse"))
+
+
+@_add("matched_vertex_filter", f"WITH {_c('sparse')}, {GREEDY}, b AS (SELECT src AS v FROM m WHERE weight % 2 = 0 UNION SELECT dst FROM m WHERE weight % 2 = 0) SELECT weight, src, dst FROM e WHERE src NOT IN (SELECT v FROM b) AND dst NOT IN (SELECT v FROM b)")
+def matched_vertex_filter(spark, d):
+    edges = model.canonical(graph(spark, d, "sparse"))
+    return model.uncovered_edges(edges, model.vertices(matching.maximal_matching(edges).where("weight % 2 = 0")))
+
+
+@_add("uncovered_edge_filter", f"WITH {_c('sparse')}, {GREEDY}, b AS (SELECT src AS v FROM m WHERE weight % 2 = 0 UNION SELECT dst FROM m WHERE weight % 2 = 0) SELECT weight, src, dst FROM e WHERE src NOT IN (SELECT v FROM b) OR dst NOT IN (SELECT v FROM b)")
+def uncovered_edge_filter(spark, d):
+    edges = model.canonical(graph(spark, d, "sparse"))
+    return model.half_covered_edges(edges, model.vertices(matching.maximal_matching(edges).where("weight % 2 = 0")))
+
+
+@_add("maximal_matching_filter_check", "SELECT true AS valid, true AS maximal")
+def maximal_matching_filter_check(spark, d):
+    edges = graph(spark, d, "full")
+    return matching.check_matching(edges, matching.maximal_matching_by_filtering(edges, budget=20_000))
+
+
+@_add("vertex_cover", f"WITH {_c('sparse')}, {GREEDY} SELECT src AS vertex FROM m UNION SELECT dst FROM m")
+def vertex_cover(spark, d):
+    return cover.vertex_cover(graph(spark, d, "sparse"))
+
+
+@_add("edge_cover", f"WITH {_c('sparse')}, {GREEDY}, {TOPUP} SELECT * FROM m UNION ALL SELECT * FROM tu")
+def edge_cover(spark, d):
+    return cover.edge_cover(graph(spark, d, "sparse"))
+
+
+@_add("edge_cover_topup", f"WITH {_c('sparse')}, {GREEDY}, {TOPUP} SELECT * FROM tu")
+def edge_cover_topup(spark, d):
+    edges = graph(spark, d, "sparse")
+    return cover.cover_topup(edges, matching.maximal_matching(edges))
+
+
+@_add("maximum_matching_size")
+def maximum_matching_size(spark, d):
+    return matching.maximum_matching(graph(spark, d, "sparse")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+@_add("vertex_cover_maximum_check", "SELECT true AS covers")
+def vertex_cover_maximum_check(spark, d):
+    edges = graph(spark, d, "sparse")
+    return cover.check_vertex_cover(edges, cover.vertex_cover(edges, maximum=True))
+
+
+@_add("edge_cover_maximum_size")
+def edge_cover_maximum_size(spark, d):
+    return cover.edge_cover(graph(spark, d, "sparse"), maximum=True).agg(F.count(F.lit(1)).alias("edges"))
+
+
+SWEEP = [1, 2, 4, 8, 16, 32, 64]
+
+
+def _bits_sql(values: str, ks: list[int]) -> str:
+    return (
+        f"WITH h AS (SELECT ({A}::BIGINT * (v % {Q}) + {B}) % {Q} AS h, k FROM ({values}), (SELECT unnest({ks})::BIGINT AS k)), t AS (SELECT k, h % k AS bucket, h // k AS t FROM h), "
+        "bm AS (SELECT k, bucket, bit_or(CASE WHEN t = 0 THEN 1 ELSE t & -t END)::BIGINT AS bm FROM t GROUP BY k, bucket), b AS (SELECT *, bit_count((~bm & (bm + 1)) - 1)::BIGINT AS r FROM bm)"
+    )
+
+
+def _estimate_sql(k: str, s: str) -> str:
+    return f"floor({k} / {PHI}::DOUBLE * pow(2.0, {s} / {k}))::BIGINT"
+
+
+def _column(spark, d, column):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col(column).alias("value"))
+
+
+PARTKEYS, ORDERKEYS = "SELECT l_partkey AS v FROM lineitem", "SELECT l_orderkey AS v FROM lineitem"
+
+
+@_add("pcsa_distinct", f"{_bits_sql(ORDERKEYS, [64])} SELECT k, {_estimate_sql('k', 'sum(r)')} AS estimate FROM b GROUP BY k")
+def pcsa_distinct(spark, d):
+    return sketch.approx_distinct(_column(spark, d, "l_orderkey"), [64])
+
+
+@_add("pcsa_sweep", f"{_bits_sql(PARTKEYS, SWEEP)} SELECT k, {_estimate_sql('k', 'sum(r)')} AS estimate FROM b GROUP BY k")
+def pcsa_sweep(spark, d):
+    return sketch.approx_distinct(_column(spark, d, "l_partkey"), SWEEP)
+
+
+@_add("pcsa_buckets", f"{_bits_sql(PARTKEYS, [16])} SELECT k, bucket, bm, r FROM b")
+def pcsa_buckets(spark, d):
+    return sketch.pcsa_buckets(_column(spark, d, "l_partkey"), [16])
+
+
+REACH_KS = [1, 4, 16, 64]
+
+
+def _reach_sql(ks: list[int]) -> str:
+    return (
+        f"WITH RECURSIVE e AS ({graph_sql('directed')}), r(u, v) AS (SELECT src, src FROM e UNION SELECT r.u, e.dst FROM r JOIN e ON r.v = e.src), "
+        f"h AS (SELECT u, k, ({A}::BIGINT * (v % {Q}) + {B}) % {Q} AS h FROM r, (SELECT unnest({ks})::BIGINT AS k)), t AS (SELECT u, k, h % k AS bucket, h // k AS t FROM h), "
+        f"bm AS (SELECT u, k, bucket, bit_or(CASE WHEN t = 0 THEN 0 ELSE least(t & -t, {1 << TOP_BIT}) END)::BIGINT AS bm FROM t GROUP BY u, k, bucket), "
+        f"s AS (SELECT u AS node, k, {_estimate_sql('k', 'sum(bit_count((~bm & (bm + 1)) - 1)::BIGINT)')} AS estimate FROM bm GROUP BY u, k)"
+    )
+
+
+FOLD = f"list_reduce(list_prepend(0::BIGINT, list(estimate ORDER BY node)), lambda c, x: ({A}::BIGINT * ((c + x) % {Q}) + {B}) % {Q})"
+
+
+@_add("reach_bitmaps", f"{_reach_sql([16])} SELECT u AS node, bucket, bm FROM bm")
+def reach_bitmaps(spark, d):
+    return sketch.reach_bitmaps(graph(spark, d, "directed"), 16)
+
+
+@_add("reach_estimates", f"{_reach_sql([16])} SELECT node, estimate FROM s")
+def reach_estimates(spark, d):
+    return sketch.estimate_reachable(graph(spark, d, "directed"), 16)
+
+
+@_add("reach_summary", f"{_reach_sql(REACH_KS)} SELECT k, count(*) AS nodes, min(estimate) AS least, max(estimate) AS most, round(avg(estimate))::BIGINT AS mean, {FOLD} AS checksum FROM s GROUP BY k")
+def reach_summary(spark, d):
+    return sketch.reach_summary(graph(spark, d, "directed"), REACH_KS)
+
+
+@_add("reach_checksum", f"{_reach_sql([16])} SELECT {FOLD} AS checksum FROM s")
+def reach_checksum(spark, d):
+    return sketch.ordered_checksum(sketch.estimate_reachable(graph(spark, d, "directed"), 16))
+
+
+@_add("edge_sample_hash")
+def edge_sample_hash(spark, d):
+    edges = model.canonical(graph(spark, d, "full"))
+    return model.sample_edges(edges, 10_000)
