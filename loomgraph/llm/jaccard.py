@@ -8,12 +8,16 @@ differ in at most k elements, so if a band of sizes is cut into m > k hash range
 agree exactly in m - k of them.  A region holds the documents that agree in one range.
 Documents near the edge of a size band are replicated into the next band.
 
-Inside a region the join is the metric one, and recursive.  Each round picks pivots,
-measures every member of the region against them, and links those within the radius.
-Members that a link has already joined to the pivot's component need no test, a pivot
-leaves its regions once measured, and members whose distances to the region's first
-pivot differ by more than the radius are skipped (triangle inequality).  Rounds take 1,
-8, 64, ... pivots a region until each region is one component or empty.
+Inside a region the join is the metric one, and recursive.  First one member serves as
+the pivot of a star: all others are measured against it, and those within the radius are
+linked.  Members that links have joined to one component need no further test among them.
+A small region is then finished pair by pair.  A large one is described anew around a
+pivot in its middle, the consensus set c of shingles that most members hold: a member x
+becomes its difference D(x) from c, at distance |D(x)|.  With d(x, y) >= | |D(x)| - |D(y)| |
+and d(x, y) <= |D(x)| + |D(y)| (triangle inequality) pairs are skipped or linked without a
+test, and any other linked pair must share elements of its differences: the members that
+share one of their rarest ones form the regions of the next turn.  An element is shared by
+half of the members at most, so regions halve from turn to turn.
 
 Exact copies collapse first: documents of equal set hash (128 bits) form one class.
 """
@@ -27,18 +31,19 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import distinct, mix, shingles, words
 from loomgraph.operators.components import label_nodes
-from loomgraph.plans.store import discard, materialize
+from loomgraph.plans.store import materialize, ship_package
 
 LEVELS = 3
-PIVOT_GROWTH = 8
-MAX_ROUNDS = 40
+SMALL = 32  # members of a region that is finished pair by pair
+CENTRED = 1024  # the same for a region around a centre, whose windows skip most pairs untested
+MAX_TURNS = 60  # regions halve each turn
 EMIT = 200_000
 MAX_SIEVE_BITS = 1 << 26  # the sieve that is sent to tasks: 8 MB at most
 
@@ -193,6 +198,36 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(union)], ["a", "b", "common", "union"])
 
 
+def _tally(batches):
+    """(cluster, e, n): how many of the batch's members of a cluster hold each shingle."""
+    for batch in batches:
+        cluster = batch.column(0).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        for c in np.unique(cluster):
+            e, n = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(cluster == c)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), c, np.int64)), pa.array(e.view(np.int64)), pa.array(n.astype(np.int64))], ["cluster", "e", "n"])
+
+
+def _differences(batches):
+    """(cluster, cls, n, d, e): the elements in which each member differs from its cluster's consensus."""
+    for batch in batches:
+        rows, found = [], []
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
+            held = batch.column(4)[i]
+            c = np.sort(held.values.to_numpy().view(np.uint64)) if held.is_valid else np.zeros(0, np.uint64)
+            z = np.sort(np.concatenate((x, c)))
+            twice = z[1:] == z[:-1]
+            e = z[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))]
+            rows.append(np.full(max(1, len(e)), i))
+            found.append(pa.array(e.view(np.int64)) if len(e) else pa.nulls(1, pa.int64()))
+        if rows:
+            at = np.concatenate(rows)
+            d = np.array([len(f) - f.null_count for f in found], np.int64)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
+
+
 def _sieve(ids: DataFrame, n: int) -> np.ndarray:
     """A bitmap over hashed ids, at most MAX_SIEVE_BITS large: no id is missed, some others pass."""
     bits = 1 << 16
@@ -224,6 +259,7 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     words (null, empty or blank text) is alone.  Null ids stay null, and a component of
     null ids only has a null component_id.  Rows that repeat are one class.
     """
+    ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     info = materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long").withColumn("cls", F.when(F.col("n") > 0, F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")))), "sets")
     raw = docs.mapInArrow(_emit(k, num, den), "sig long, id long")
@@ -259,44 +295,98 @@ def _join_regions(docs: DataFrame, of_id: DataFrame, regions: DataFrame, k: int,
         return None
     members = docs.mapInArrow(_members(k, _sieve(wanted.select("id"), n)), "id long, h1 long, h2 long, members binary")
     members = members.withColumn("cls", F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))).join(wanted, ["id", "cls"], "left_semi")
-    sets = materialize(members.groupBy("cls").agg(F.first("members").alias("members")), "members")
-    radius = 1 - num / den + 1e-9
-    tested = links = components = None
-    pivots = 1
-    active = regions.withColumn("d0", F.lit(None).cast("double"))
-    for turn in range(MAX_ROUNDS):
-        labelled = active if components is None else active.join(components, "cls", "left")
-        labelled = labelled.withColumn("comp", F.col("cls") if components is None else F.coalesce("comp", "cls"))
-        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        open_ = materialize(labelled.join(mixed, "sig", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        # Pivots come from the smallest components of a region, in one order over all regions.
-        sized = open_.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("sig", "comp")))
-        ranked = sized.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy("size", "cls"))).where(F.col("rank") <= pivots)
-        chosen = materialize(ranked.select("sig", F.col("cls").alias("p"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n"), F.col("d0").alias("p_d0")), "pivots")
-        near = (F.col("comp") != F.col("p_comp")) & (F.greatest("n", "p_n") * num <= F.least("n", "p_n") * den)
-        window = F.coalesce(F.abs(F.col("d0") - F.col("p_d0")) <= radius, F.lit(True))
-        pairs = chosen.join(open_, "sig").where(near & window).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
+    state = _Join(materialize(members.groupBy("cls").agg(F.first("members").alias("members")), "members"), num, den)
+    # d and i: the size of a member's difference from its region's last centre, and the shared element's place in it.
+    active = regions.select("sig", "cls", "n", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("i"))
+    for turn in range(MAX_TURNS):
+        active = state.open(active)
+        if active.isEmpty():
+            return state.links
+        star = active.groupBy("sig").agg(F.min(F.struct("cls", "comp", "n", "d", "i")).alias("p"))
+        state.test(star.select("sig", "p.*"), active)
+        active = state.open(active)
+        if active.isEmpty():
+            return state.links
+        sized = active.withColumn("load", F.count(F.lit(1)).over(W.partitionBy("sig")))
+        most = F.when(F.col("d").isNull(), SMALL).otherwise(CENTRED)
+        small = sized.where(F.col("load") <= most).drop("load")
+        if not small.isEmpty():
+            state.test(small, small)
+        large = sized.where(F.col("load") > most).select("sig", "cls", "n")
+        if large.isEmpty():
+            return state.links
+        active = state.recentre(materialize(large, "large"), turn)
+    raise RuntimeError("regions did not settle")
+
+
+class _Join:
+    """Links found so far, the pairs tested, and the components that the links make."""
+
+    def __init__(self, sets: DataFrame, num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.tested = self.links = self.components = None
+
+    def open(self, active: DataFrame) -> DataFrame:
+        """The regions that hold more than one component, with each member's component."""
+        rows = active.drop("comp")
+        rows = rows if self.components is None else rows.join(self.components, "cls", "left")
+        rows = rows.withColumn("comp", F.col("cls") if self.components is None else F.coalesce("comp", "cls"))
+        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        return materialize(rows.join(mixed, "sig", "left_semi"), "open")
+
+    def _slack(self, n: str = "n", d: str = "d") -> Column:
+        return (self.den - self.num) * F.col(n) - (self.den + self.num) * F.col(d)
+
+    def test(self, pivots: DataFrame, members: DataFrame) -> None:
+        """Measure members against the pivots of their region, unless links or windows settle the pair."""
+        p = pivots.select("sig", *[F.col(c).alias(f"p_{c}") for c in ("cls", "comp", "n", "d", "i")])
+        size = F.greatest("n", "p_n") * self.num <= F.least("n", "p_n") * self.den
+        most = (self.den - self.num) * (F.col("n") + F.col("p_n"))  # (den + num) times the distance may be that
+        window = F.abs(F.col("d") - F.col("p_d")) * (self.den + self.num) <= most
+        share = 2 * (self.den + self.num) * F.least(F.col("d") - F.col("i"), F.col("p_d") - F.col("p_i")) >= -(self._slack() + self._slack("p_n", "p_d"))
+        near = (F.col("comp") != F.col("p_comp")) & size & F.coalesce(window & share, F.lit(True))
+        pairs = p.join(members, "sig").where(near).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        both = pairs.join(self.sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b").join(self.sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
         measured = materialize(both.select("a", "b", "ma", "mb").mapInArrow(_measure, "a string, b string, common long, union long"), "measured")
-        tested = measured if tested is None else tested.unionByName(measured)
-        fresh = measured.where(F.col("common") * den >= F.col("union") * num).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        components = materialize(label_nodes(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
-        rest = open_.drop("comp").join(chosen.select("sig", F.col("p").alias("cls")), ["sig", "cls"], "left_anti")
-        if turn == 0:  # distances to each region's first pivot are the windows of later rounds
-            d = measured.select("a", "b", (1 - F.col("common") / F.col("union")).alias("d"))
-            first = rest.drop("d0").join(chosen.select("sig", "p"), "sig").withColumns({"a": F.least("cls", "p"), "b": F.greatest("cls", "p")})
-            rest = first.join(d, ["a", "b"], "left").select("sig", "cls", "n", F.col("d").alias("d0"))
-        active = materialize(rest, "active")
-        discard(open_)
-        pivots *= PIVOT_GROWTH
-    else:
-        raise RuntimeError("regions did not settle")
-    return links
+        done = measured.select("a", "b")
+        self.tested = done if self.tested is None else self.tested.unionByName(done)
+        self._add(measured.where(F.col("common") * self.den >= F.col("union") * self.num).select("a", "b"))
+
+    def _add(self, fresh: DataFrame) -> None:
+        self.links = fresh if self.links is None else self.links.unionByName(fresh)
+        self.components = materialize(label_nodes(self.links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
+
+    def recentre(self, large: DataFrame, turn: int) -> DataFrame:
+        """The regions of the next turn: members that share a rare element of their differences."""
+        if turn == 0:  # one group of copies fills many regions, so those that overlap are taken together
+            first = large.groupBy("sig").agg(F.min("cls").alias("low"))
+            edges = large.join(first, "sig").select("low", "cls").distinct()
+            labels = label_nodes(edges, "low", "cls").select(F.col("node").alias("cls"), F.xxhash64("component").alias("cluster"))
+            whole = large.select("cls", "n").distinct().join(labels, "cls").select("cluster", "cls", "n")
+        else:
+            whole = large.select(F.col("sig").alias("cluster"), "cls", "n")
+        whole = materialize(whole, "cluster")
+        held = whole.join(self.sets, "cls").select("cluster", "cls", "n", "members")
+        sizes = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        counts = held.select("cluster", "members").mapInArrow(_tally, "cluster long, e long, n long").groupBy("cluster", "e").agg(F.sum("n").alias("n"))
+        centre = counts.join(sizes, "cluster").where("2 * n > size").groupBy("cluster").agg(F.collect_list("e").alias("centre"))
+        apart = held.join(centre, "cluster", "left").select("cluster", "cls", "n", "members", "centre")
+        apart = materialize(apart.mapInArrow(_differences, "cluster long, cls string, n long, d long, e long"), "differences")
+        # The member with most slack is linked to every one that is linked through the centre.
+        own = apart.select("cluster", "cls", "n", "d").distinct().withColumn("slack", self._slack())
+        best = materialize(own.groupBy("cluster").agg(F.max(F.struct("slack", "cls")).alias("top")).select("cluster", F.col("top.slack").alias("top"), F.col("top.cls").alias("top_cls")), "tops")
+        sure = own.join(best, "cluster").where("slack + top >= 0 and cls <> top_cls")
+        self._add(materialize(sure.select(F.least("cls", "top_cls").alias("a"), F.greatest("cls", "top_cls").alias("b")), "sure"))
+        # A link that isn't sure shares at least ``need`` elements; the rarest of them is in both prefixes.
+        step = 2 * (self.den + self.num)
+        spread = W.partitionBy("cluster", "e")
+        rare = apart.where("e is not null").withColumn("freq", F.count(F.lit(1)).over(spread)).withColumn("slack", self._slack()).join(best, "cluster")
+        need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / step))
+        ranked = rare.withColumn("i", F.row_number().over(W.partitionBy("cluster", "cls").orderBy("freq", "e")).cast("long") - 1).where((F.col("i") <= F.col("d") - need) & (F.col("freq") > 1))
+        fresh = ranked.select(F.xxhash64("cluster", "e", F.lit(turn)).alias("sig"), "cls", "n", "d", "i")
+        return materialize(fresh, "regions")
 
 
 def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
