@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import buffers, distinct, shingles, words
+from loomgraph.plans.store import ship_package
 
 MAX_TRAIN = 8_000
 FOLDS = 5
@@ -155,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     Without any labelled text, or with one class only, the model knows nothing but the classes' shares.
     """
+    ship_package(docs.sparkSession)
     train = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Only rows that may be labelled are shuffled to their label.
@@ -184,6 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for each row; null text is scored as empty."""
 
+    ship_package(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             m = np.array([model.margin(x) for x in features(batch.column(1))])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.wordhash import LETTERS, shingles, words
+from loomgraph.plans.store import ship_package
 
 WORDS_AN_EDIT = 8
 LEAD = 3  # words of a piece that are looked up
@@ -144,6 +145,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     their matches.  Ties take the first place.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     schema = "doc_id long, item_id long, distance long, first_word long, end_word long, item_words long"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
@@ -168,6 +170,7 @@ def _finder(matcher: Matcher):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item stands, with all their columns."""
+    ship_package(docs.sparkSession)
     at = docs.columns.index(text)
     for block in _blocks(items, item_col, item_text):
         docs = docs.mapInArrow(_keeper(Matcher(block), at), docs.schema)
