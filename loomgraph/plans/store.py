@@ -28,10 +28,14 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back (lineage ends there)."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
@@ -42,9 +46,17 @@ def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing will read any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote; call it once its results are stored elsewhere."""
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _shipped: set[str] = set()

@@ -59,6 +59,10 @@ def test_scratch_tables(spark):
     df = store.materialize(spark.range(5).toDF("x"))
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().toString()
     store.discard(df)
+    again = store.materialize(spark.range(2))
+    store.clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not.?found|does not exist"):
+        again.collect()
 
 
 def test_streaming_sketch(spark, tmp_path):
