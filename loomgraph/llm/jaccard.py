@@ -399,9 +399,9 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
     found = jaccard_components(df, k, num, den, id_col, text)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
     odd = materialize(ids.where("low < doc_id or rows > 1").select(F.col("doc_id").alias("key"), (F.col("low") < F.col("doc_id")).alias("dropped")), "dropped")
-    own = F.col(id_col).cast("long")
-    may = maybe_in(own, odd)
-    rest = df.where(may).join(odd.where("dropped").select(F.col("key").alias("_key")), own == F.col("_key"), "left_anti").dropDuplicates()
+    may = maybe_in(F.col(id_col).cast("long"), odd)
+    part, dropped = df.where(may), odd.where("dropped")
+    rest = part.join(dropped, part[id_col].cast("long") == dropped["key"], "left_anti").dropDuplicates()
     return df.where(~may).unionByName(rest)
 
 

@@ -102,6 +102,13 @@ def test_empty_null_ids_and_extra_columns(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "a b c d", 1), (None, "a b c d", 2), (4, "a b c d", 3), (5, "x y z", 4)], key=str)
 
 
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(3, "a b c d e f g", 1, "x", 2.0), (1, "a b c d e f g", 2, "y", 2.0), (2, "other words", 3, "z", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, dropped string, component_id double")
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_one_of_each_keeps_the_least_id(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
