@@ -7,12 +7,15 @@ is kept.  The rest is finished by Kruskal's algorithm in one task.
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import label_nodes
 from loomgraph.operators.model import canonical
+from loomgraph.operators.stats import RunStats
 from loomgraph.plans.store import discard, materialize, ship_package
 
 BUDGET = 200_000
@@ -42,6 +45,7 @@ def spanning_forest(edges: DataFrame, budget: int = BUDGET, stats: list | None =
     kind = rest.schema["weight"].dataType.simpleString()
     found = []
     while (n := rest.count()) > budget:
+        began = time.time()
         ends = rest.select(F.explode(F.array("u", "v")).alias("c"), "weight", "src", "dst", "u", "v")
         picks = materialize(ends.groupBy("c").agg(F.min(F.struct("weight", "src", "dst", "u", "v")).alias("e")).select("e.*").distinct(), "picks")
         found.append(picks.select("weight", "src", "dst"))
@@ -51,7 +55,7 @@ def spanning_forest(edges: DataFrame, budget: int = BUDGET, stats: list | None =
         least = moved.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
         fresh = materialize(least.select("e.*", "u", "v"), "edges")
         if stats is not None:
-            stats.append({"round": len(found), "input_edges": n, "kept": picks.count()})
+            stats.append(RunStats("spanning_forest", len(found), n, matched=picks.count(), remaining=fresh.count(), seconds=time.time() - began))
         discard(rest)
         rest = fresh
     found.append(rest.coalesce(1).mapInPandas(_kruskal, f"weight {kind}, src long, dst long"))

@@ -1,6 +1,7 @@
-"""Greedy maximal matching in the order (weight, src, dst), and exact maximum matching.
+"""Greedy maximal matching in a stated order of the edges, and exact maximum matching.
 
-An edge that comes first at both of its ends is in the greedy matching; such edges are
+The order is (weight, src, dst), or the text of ``WEIGHT<TAB>SRC``, or a column that the
+caller supplies, such as the line number of the input; ties go by (src, dst).  An edge that comes first at both of its ends is in the greedy matching; such edges are
 taken together round by round until the rest fits ``budget`` edges and one task.
 """
 
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.blossom import maximum_pairs
 from loomgraph.operators.components import label_nodes
-from loomgraph.operators.model import canonical, sample_edges, uncovered_edges, vertices
+from loomgraph.operators.model import canonical, sample_edges, vertices, without_vertices
+from loomgraph.operators.stats import RunStats
 from loomgraph.plans.store import discard, materialize, ship_package
 
 BUDGET = 200_000
 
 
 def _greedy(batches):
-    table = pd.concat([b for b in batches] or [pd.DataFrame(columns=["weight", "src", "dst"])]).sort_values(["weight", "src", "dst"])
+    table = pd.concat([b for b in batches] or [pd.DataFrame(columns=["rank", "weight", "src", "dst"])]).sort_values(["rank", "src", "dst"])
     taken: set = set()
     keep = []
     for u, v in zip(table["src"].tolist(), table["dst"].tolist()):
@@ -30,11 +32,19 @@ def _greedy(batches):
         if free:
             taken.add(u)
             taken.add(v)
+    table = table[["weight", "src", "dst"]]
     yield table[keep] if keep else table
 
 
 def _finish(edges: DataFrame) -> DataFrame:
-    return edges.select("weight", "src", "dst").coalesce(1).mapInPandas(_greedy, edges.select("weight", "src", "dst").schema)
+    return edges.select("rank", "weight", "src", "dst").coalesce(1).mapInPandas(_greedy, edges.select("weight", "src", "dst").schema)
+
+
+def ranked(edges: DataFrame, order: str = "weight") -> DataFrame:
+    """Simple edges (rank, weight, src, dst); of parallel ones the first in the order stays."""
+    rank = F.concat(F.col("weight").cast("string"), F.lit("\t"), F.col("src").cast("string")) if order == "text" else F.col(order)
+    named = edges.where("src <> dst").select(rank.alias("rank"), "weight", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return named.groupBy("src", "dst").agg(F.min(F.struct("rank", "weight")).alias("e")).select("e.rank", "e.weight", "src", "dst")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -44,42 +54,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def maximal_matching(edges: DataFrame, budget: int = BUDGET, stats: list | None = None) -> DataFrame:
-    """(weight, src, dst): what a sequential greedy pass in (weight, src, dst) order takes."""
+def maximal_matching(edges: DataFrame, budget: int = BUDGET, order: str = "weight", stats: list | None = None) -> DataFrame:
+    """(weight, src, dst): what a sequential greedy pass in the order takes."""
     ship_package(edges.sparkSession)
-    rest = materialize(canonical(edges), "edges")
+    rest = materialize(ranked(edges, order), "edges")
     found = []
     while (n := rest.count()) > budget:
         began = time.time()
-        ends = rest.select(F.explode(F.array("src", "dst")).alias("v"), F.struct("weight", "src", "dst").alias("e"))
+        ends = rest.select(F.explode(F.array("src", "dst")).alias("v"), F.struct("rank", "src", "dst", "weight").alias("e"))
         firsts = ends.groupBy("v").agg(F.min("e").alias("e"))
-        picks = materialize(firsts.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.*"), "picks")
+        picks = materialize(firsts.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.weight", "e.src", "e.dst"), "picks")
         found.append(picks)
-        fresh = materialize(uncovered_edges(rest, vertices(picks)), "edges")
+        fresh = materialize(without_vertices(rest, vertices(picks)), "edges")
         discard(rest)
         rest = fresh
         if stats is not None:
-            stats.append({"round": len(found), "input_edges": n, "matched": picks.count(), "seconds": time.time() - began})
+            stats.append(RunStats("maximal_matching", len(found), n, matched=picks.count(), remaining=rest.count(), seconds=time.time() - began))
     return _union([*found, _finish(rest)])
 
 
-def maximal_matching_by_filtering(edges: DataFrame, budget: int = 25_000, seed: int = 1, stats: list | None = None) -> DataFrame:
+def maximal_matching_by_filtering(edges: DataFrame, budget: int = 25_000, seed: int = 1, order: str = "weight", stats: list | None = None) -> DataFrame:
     """A maximal matching by sampling to the budget, matching the sample in one task, and filtering.
 
     Valid and maximal, but another matching than the greedy one over all edges.
     """
     ship_package(edges.sparkSession)
-    rest = materialize(canonical(edges), "edges")
+    rest = materialize(ranked(edges, order), "edges")
     found = []
     while True:
         n, began = rest.count(), time.time()
-        picks = materialize(_finish(sample_edges(rest, budget, n, seed + len(found))), "picks")
+        sample = sample_edges(rest, budget, n, seed + len(found))
+        picks = materialize(_finish(sample), "picks")
         found.append(picks)
+        fresh = None if n <= budget else materialize(without_vertices(rest, vertices(picks)), "edges")
         if stats is not None:
-            stats.append({"round": len(found), "input_edges": n, "matched": picks.count(), "seconds": time.time() - began})
-        if n <= budget:
+            stats.append(RunStats("maximal_matching_by_filtering", len(found), n, sample.count(), picks.count(), 0 if fresh is None else fresh.count(), time.time() - began))
+        if fresh is None:
             return _union(found)
-        fresh = materialize(uncovered_edges(rest, vertices(picks)), "edges")
         discard(rest)
         rest = fresh
 
@@ -113,5 +124,5 @@ def check_matching(edges: DataFrame, matching: DataFrame) -> DataFrame:
     ends = matching.select(F.explode(F.array("src", "dst")).alias("vertex"))
     twice = ends.groupBy("vertex").count().where("count > 1").agg(F.count(F.lit(1)).alias("twice"))
     strange = matching.join(simple, ["src", "dst"], "left_anti").agg(F.count(F.lit(1)).alias("strange"))
-    free = uncovered_edges(simple, ends.distinct()).agg(F.count(F.lit(1)).alias("free"))
+    free = without_vertices(simple, ends.distinct()).agg(F.count(F.lit(1)).alias("free"))
     return matching.sparkSession.range(1).select(((twice.scalar() == 0) & (strange.scalar() == 0)).alias("valid"), (free.scalar() == 0).alias("maximal"))

@@ -42,11 +42,32 @@ def adjacency(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return marked.select("id", "edges", F.when(F.col("_s"), 0).cast("int").alias("distance"), F.when(F.col("_s"), "GRAY").otherwise("WHITE").alias("color"))
 
 
+def without_vertices(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges with no end in ``gone`` (vertex), with all their columns."""
+    columns = edges.columns
+    for side in ("src", "dst"):
+        edges = edges.join(gone.select(F.col("vertex").alias(side)), side, "left_anti")
+    return edges.select(columns)
+
+
 def uncovered_edges(edges: DataFrame, covered: DataFrame) -> DataFrame:
     """Edges with both ends outside ``covered`` (vertex)."""
-    for side in ("src", "dst"):
-        edges = edges.join(covered.select(F.col("vertex").alias(side)), side, "left_anti")
-    return edges.select("weight", "src", "dst")
+    return without_vertices(edges, covered).select("weight", "src", "dst")
+
+
+def edges_from(edges: DataFrame, vertex: int) -> DataFrame:
+    """(vertex): the neighbours of one vertex."""
+    return both_directions(edges).where((F.col("src") == vertex) & (F.col("dst") != vertex)).select(F.col("dst").alias("vertex")).distinct()
+
+
+def has_edge(edges: DataFrame, a: int, b: int) -> bool:
+    return not remaining(edges, a, b, keep=True).isEmpty()
+
+
+def remaining(edges: DataFrame, a: int, b: int, keep: bool = False) -> DataFrame:
+    """The edges without those between a and b, or those alone if ``keep``."""
+    between = (F.least("src", "dst") == min(a, b)) & (F.greatest("src", "dst") == max(a, b))
+    return edges.where(between if keep else ~between)
 
 
 def half_covered_edges(edges: DataFrame, covered: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "b
     """(node, bucket, bm) for every node with an out-edge, over what it reaches, itself included.
 
     ``stop="bitmap"`` runs to the fixpoint of the bitmaps; ``"estimate"`` ends with the first
-    round that changes no estimate.  Small graphs are finished in one task.
+    round that changes no estimate.  ``rounds`` gets each round's number and how many nodes
+    changed in it.  Small graphs are finished in one task.
     """
     ship_package(edges.sparkSession)
     arcs = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "arcs")
@@ -84,11 +85,11 @@ def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "b
         pulled = arcs.join(state, arcs["dst"] == state["node"]).select(F.col("src").alias("node"), "bucket", "bm")
         grown = materialize(state.unionByName(pulled).groupBy("node", "bucket").agg(F.bit_or("bm").alias("bm")), "state")
         old, new = (state, grown) if stop == "bitmap" else (_node_estimates(state, k), _node_estimates(grown, k))
-        changed = not new.join(old, new.columns, "left_anti").isEmpty()
+        votes = new.join(old, new.columns, "left_anti").select("node").distinct().count()
         state = grown
         if rounds is not None:
-            rounds.append(turn)
-        if not changed:
+            rounds.append((turn, votes))
+        if not votes:
             break
     return state.join(arcs.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node", "bucket", "bm")
 

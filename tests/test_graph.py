@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import bfs, components, cover, forest, matching, model, sketch
+from loomgraph.operators.stats import stats_frame
 
 GRAPHS = {
     "empty": [],
@@ -93,7 +94,24 @@ def test_covers_and_filtering(spark, name):
     stats = []
     found = matching.maximal_matching_by_filtering(df, budget=20, stats=stats)
     assert tuple(matching.check_matching(df, found).first()) == (True, True)
-    assert stats and stats[-1]["input_edges"] <= 20
+    assert stats and stats[-1].input_edges <= 20 and stats[-1].remaining == 0
+    assert stats_frame(spark, stats).count() == len(stats)
+
+
+def test_matching_orders(spark):
+    rows = [(10, 1, 2, 3), (9, 2, 3, 2), (100, 3, 4, 1), (9, 5, 6, 4)]
+    df = spark.createDataFrame(rows, "weight long, src long, dst long, line long")
+    assert {e[1:] for e in tuples(matching.maximal_matching(df))} == {(2, 3), (5, 6)}
+    for budget in (0, 100):  # as text, "10" and "100" come before "9"
+        assert {e[1:] for e in tuples(matching.maximal_matching(df, budget, order="text"))} == {(1, 2), (3, 4), (5, 6)}
+        assert {e[1:] for e in tuples(matching.maximal_matching(df, budget, order="line"))} == {(3, 4), (1, 2), (5, 6)}
+
+
+def test_graph_lookups(spark):
+    df = frame(spark, GRAPHS["two_parts"])
+    assert tuples(model.edges_from(df, 2)) == [(1,), (3,)]
+    assert model.has_edge(df, 8, 7) and not model.has_edge(df, 1, 8)
+    assert model.remaining(df, 2, 1).count() == 3
 
 
 def test_edge_cover_of_a_star_needs_all_edges(spark):
@@ -202,4 +220,4 @@ def test_reachability(spark, budget):
     assert sketch.ordered_checksum(est).first()[0] == c
     rounds = []
     sketch.reach_bitmaps(df, 4, stop="estimate", rounds=rounds).count()
-    assert rounds
+    assert rounds[-1][1] == 0
