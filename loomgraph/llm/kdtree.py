@@ -69,7 +69,8 @@ def kd_shards(df: DataFrame, weight: Column, dims: dict[str, Column], identity:
         raise ValueError(f"{leaves} leaves; shard the table in parts of at most {MAX_LEAVES}")
     coords = _coordinates(rows, dims, about)
     low = F.shiftrightunsigned("_h", 64 - HASH_BITS) * (1 << ROW_BITS) + F.shiftrightunsigned("_u", 64 - ROW_BITS)
-    table = rows.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(coords)], low.alias("_low"), F.lit(0).alias("_node"))
+    plain = [c for c in rows.columns if not c.startswith("_d_")]
+    table = rows.select(*plain, *[c.alias(f"_c{i}") for i, c in enumerate(coords)], low.alias("_low"), F.lit(0).alias("_node"))
     nodes = {0: Node(0, leaves, total)}
     while total and any(x.leaves > 1 for x in nodes.values()):
         table, nodes = _split(spark, table, nodes, len(dims))
@@ -122,7 +123,8 @@ def _split(spark: SparkSession, table: DataFrame, nodes: dict[int, Node], n_dims
         out[2 * k + 2] = Node(x.first_leaf + half, x.leaves - half, x.weight - x.left)
     cuts = F.broadcast(_values(spark, [(k, x.split if x.leaves > 1 else -1) for k, x in nodes.items()], "_node int, _cut bigint"))
     child = F.when(F.col("_cut") < 0, F.col("_node")).when(F.col("_key") < F.col("_cut"), 2 * F.col("_node") + 1).otherwise(2 * F.col("_node") + 2)
-    return keyed.join(cuts, "_node").withColumn("_node", child.cast("int")).drop("_dim", "_key", "_cut"), out
+    # Written at each level: plans stay small, and a lost executor costs one level at most.
+    return materialize(keyed.join(cuts, "_node").withColumn("_node", child.cast("int")).drop("_dim", "_key", "_cut"), "kd"), out
 
 
 def document_shards(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = None) -> DataFrame:
