@@ -8,6 +8,7 @@ tables survive the loss of any executor, unlike a local checkpoint.
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -59,6 +60,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver find shuffles that no plan needs any more, so that executors drop their files.
+
+    Spark does this whenever the driver collects its garbage, which on an idle driver can take long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
