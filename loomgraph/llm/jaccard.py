@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import distinct, mix, shingles, words
 from loomgraph.operators.components import label_nodes
-from loomgraph.plans.store import materialize, ship_package
+from loomgraph.plans.store import free_shuffles, materialize, ship_package
 
 LEVELS = 3
 SMALL = 32  # members of a region that is finished pair by pair
 CENTRED = 1024  # the same for a region around a centre, whose windows skip most pairs untested
 MAX_TURNS = 60  # regions halve each turn
 EMIT = 200_000
+CELLS = 256  # hash cells whose counts bound the distance of two sets from below
 MAX_SIEVE_BITS = 1 << 26  # the sieve that is sent to tasks: 8 MB at most
 
 
@@ -157,29 +158,39 @@ def _emit(k: int, num: int, den: int):
     return run
 
 
-def _members(k: int, sieve: np.ndarray):
-    """(id, h1, h2, members) of the documents whose id passes the sieve."""
-    bits = np.uint64(len(sieve) * 8)
+def _members(k: int):
+    """(id, h1, h2, cells, members) of each document that has words."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            h = (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % bits).astype(np.int64)
-            hit = ((sieve[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
-            part = batch.filter(pa.array(hit))
-            rows = []
-            for i, s in _sets(part, k):
+            ids, rows = batch.column(0), []
+            for i, s in _sets(batch, k):
                 if len(s):
                     a, b = _key(s)
-                    rows.append((a if (x := part.column(0)[i].as_py()) is None else x, a, b, s.tobytes()))
+                    cells = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+                    rows.append((a if (x := ids[i].as_py()) is None else x, a, b, cells.tobytes(), s.tobytes()))
                 if len(rows) >= 500:
                     yield _table(rows)
                     rows = []
             yield _table(rows)
 
     def _table(rows):
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "h1", "h2", "members"])
+        cols = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "h1", "h2", "cells", "members"])
+
+    return run
+
+
+def _bound(num: int, den: int):
+    """The pairs whose cells don't rule out a link: each cell is a pivot set, and counts in it differ by the distance at most."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (3, 4))
+            apart = np.abs(x - y).sum(axis=1)
+            keep = (den + num) * apart <= (den - num) * batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -228,26 +239,6 @@ def _differences(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
 
 
-def _sieve(ids: DataFrame, n: int) -> np.ndarray:
-    """A bitmap over hashed ids, at most MAX_SIEVE_BITS large: no id is missed, some others pass."""
-    bits = 1 << 16
-    while bits < 16 * n and bits < MAX_SIEVE_BITS:
-        bits *= 2
-
-    def mark(batches):
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            own[(mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)] = True
-        packed = np.packbits(own, bitorder="little").view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(packed[at])], ["w", "bits"])
-
-    out = np.zeros(bits // 64, np.int64)
-    got = ids.mapInArrow(mark, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint8)
-
-
 def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each row of ``df``.
 
@@ -261,41 +252,54 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     """
     ship_package(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    info = materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long").withColumn("cls", F.when(F.col("n") > 0, F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")))), "sets")
-    raw = docs.mapInArrow(_emit(k, num, den), "sig long, id long")
-    found = raw.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("c > 1").select("sig", "id")
-    held = materialize(found, "regions")
-    of_id = info.where("n > 0").select(F.coalesce("doc_id", "h1").alias("id"), "cls", "n", "h1", "h2").distinct()
-    named = held.join(of_id, "id").select("sig", "cls", "n").distinct()
-    several = named.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("sig"))).where("c > 1").select("sig", "cls", "n")
-    regions = materialize(several, "regions")
-    links = _join_regions(docs, of_id, regions, k, num, den)
-    least = info.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    info = materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long"), "sets")
+    held = info.where("n > 0")
+    # One row a class, with a number that the joins below carry; id is the one row of it that emits.
+    classes = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min(F.coalesce("doc_id", "h1")).alias("id"), F.min("n").alias("n"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    own = held.where("doc_id is not null").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("id")).alias("emits"))
+    raw = _without(docs, materialize(own.where("not emits").select(F.col("doc_id").alias("key")), "copies")).mapInArrow(_emit(k, num, den), "sig long, id long")
+    shared = materialize(_in_several(raw, "id").select("sig", "id"), "shared")
+    free_shuffles(df.sparkSession)  # this one is by far the largest
+    named = shared.join(classes.select("id", "cls", "n"), "id").select("sig", "cls", "n")
+    regions = materialize(_in_several(named, "cls").select("sig", "cls", "n"), "regions")
+    links = _join_regions(docs, classes, regions, k, num, den)
     if links is None:
-        whole = least.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
+        whole = classes.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
     else:
         roots = label_nodes(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("root"))
         degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-        some = materialize(least.join(roots, "cls").join(degree, "cls", "left"), "linked")
+        some = materialize(classes.select("cls", "class_id").join(roots, "cls").join(degree, "cls", "left"), "linked")
         tops = some.groupBy("root").agg(F.min("class_id").alias("component_id"))
         joined = some.join(tops, "root").select("cls", "component_id", "n_links")
-        whole = least.join(joined, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return info.join(whole, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        whole = classes.join(joined, "cls", "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    out = info.join(whole.select("h1", "h2", "class_id", "component_id", "n_links"), ["h1", "h2"], "left")
+    empty = F.col("n") == 0
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
-def _join_regions(docs: DataFrame, of_id: DataFrame, regions: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+def _in_several(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose region (sig) holds more than one value of the column."""
+    region = W.partitionBy("sig")
+    spread = rows.withColumns({"lo": F.min(column).over(region), "hi": F.max(column).over(region)})
+    return spread.where("lo <> hi").drop("lo", "hi")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (key); only those that a bounded bitmap doubts are shuffled."""
+    may = maybe_in(F.col("doc_id"), ids)
+    return docs.where(~may).unionByName(docs.where(may).join(ids.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti"))
+
+
+def _join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """The verified links (a, b) between classes, enough to join every component."""
-    wanted = of_id.join(regions.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("id"))
-    wanted = materialize(wanted, "wanted")
-    n = wanted.count()
-    if not n:
+    wanted = materialize(classes.join(regions.select("cls").distinct(), "cls").select("id", "h1", "h2", "cls"), "wanted")
+    if wanted.isEmpty():
         return None
-    members = docs.mapInArrow(_members(k, _sieve(wanted.select("id"), n)), "id long, h1 long, h2 long, members binary")
-    members = members.withColumn("cls", F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))).join(wanted, ["id", "cls"], "left_semi")
-    state = _Join(materialize(members.groupBy("cls").agg(F.first("members").alias("members")), "members"), num, den)
+    state = _Join(docs, wanted, k, num, den)
     # d and i: the size of a member's difference from its region's last centre, and the shared element's place in it.
     active = regions.select("sig", "cls", "n", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("i"))
     for turn in range(MAX_TURNS):
@@ -322,9 +326,25 @@ def _join_regions(docs: DataFrame, of_id: DataFrame, regions: DataFrame, k: int,
 class _Join:
     """Links found so far, the pairs tested, and the components that the links make."""
 
-    def __init__(self, sets: DataFrame, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.tested = self.links = self.components = None
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int):
+        self.docs, self.classes, self.k, self.num, self.den = docs, classes, k, num, den
+        self.tested = self.links = self.components = self.sets = None
+        self.cells = materialize(self._read(classes).select("cls", "cells"), "cells")
+
+    def _read(self, classes: DataFrame) -> DataFrame:
+        """The sets of some classes, from the documents that stand for them."""
+        near = self.docs.where(F.col("doc_id").isNull() | maybe_in(F.col("doc_id"), classes.select(F.col("id").alias("key"))))
+        return near.mapInArrow(_members(self.k), "id long, h1 long, h2 long, cells binary, members binary").join(classes, ["id", "h1", "h2"])
+
+    def fetch(self, ids: DataFrame) -> None:
+        """Have the whole sets of these classes (key) at hand; documents are read only for new ones."""
+        need = self.classes.join(ids.select(F.col("key").alias("cls")), "cls", "left_semi")
+        if self.sets is not None:
+            need = need.join(self.sets.select("cls"), "cls", "left_anti")
+        need = materialize(need, "need")
+        if not need.isEmpty():
+            more = materialize(self._read(need).select("cls", "members"), "members")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def open(self, active: DataFrame) -> DataFrame:
         """The regions that hold more than one component, with each member's component."""
@@ -345,14 +365,30 @@ class _Join:
         window = F.abs(F.col("d") - F.col("p_d")) * (self.den + self.num) <= most
         share = 2 * (self.den + self.num) * F.least(F.col("d") - F.col("i"), F.col("p_d") - F.col("p_i")) >= -(self._slack() + self._slack("p_n", "p_d"))
         near = (F.col("comp") != F.col("p_comp")) & size & F.coalesce(window & share, F.lit(True))
-        pairs = p.join(members, "sig").where(near).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")).distinct()
+        pairs = p.join(members, "sig").where(near).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("n") + F.col("p_n")).alias("size")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        both = pairs.join(self.sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b").join(self.sets.select(F.col("cls").alias("a"), F.col("members").alias("ma")), "a")
-        measured = materialize(both.select("a", "b", "ma", "mb").mapInArrow(_measure, "a string, b string, common long, union long"), "measured")
-        done = measured.select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        done = pairs.select("a", "b")
         self.tested = done if self.tested is None else self.tested.unionByName(done)
+        hopeful = self._with(pairs, self.cells, "cells").mapInArrow(_bound(self.num, self.den), "a long, b long")
+        hopeful = materialize(hopeful.distinct(), "hopeful")
+        # Whole sets are shuffled only for the classes of pairs that the bound leaves.
+        ids = hopeful.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        if hopeful.isEmpty():
+            return
+        self.fetch(ids)
+        sets = self.sets.where(maybe_in(F.col("cls"), ids))
+        measured = self._with(hopeful.withColumn("size", F.lit(0)), sets, "members").drop("size").mapInArrow(_measure, "a long, b long, common long, union long")
+        measured = materialize(measured.distinct(), "measured")
         self._add(measured.where(F.col("common") * self.den >= F.col("union") * self.num).select("a", "b"))
+        free_shuffles(members.sparkSession)
+
+    @staticmethod
+    def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        """(a, b, size, what the table holds for a, the same for b)."""
+        side = lambda c: sets.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size", "_a", "_b")
 
     def _add(self, fresh: DataFrame) -> None:
         self.links = fresh if self.links is None else self.links.unionByName(fresh)
@@ -368,12 +404,13 @@ class _Join:
         else:
             whole = large.select(F.col("sig").alias("cluster"), "cls", "n")
         whole = materialize(whole, "cluster")
+        self.fetch(whole.select(F.col("cls").alias("key")).distinct())
         held = whole.join(self.sets, "cls").select("cluster", "cls", "n", "members")
         sizes = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         counts = held.select("cluster", "members").mapInArrow(_tally, "cluster long, e long, n long").groupBy("cluster", "e").agg(F.sum("n").alias("n"))
         centre = counts.join(sizes, "cluster").where("2 * n > size").groupBy("cluster").agg(F.collect_list("e").alias("centre"))
         apart = held.join(centre, "cluster", "left").select("cluster", "cls", "n", "members", "centre")
-        apart = materialize(apart.mapInArrow(_differences, "cluster long, cls string, n long, d long, e long"), "differences")
+        apart = materialize(apart.mapInArrow(_differences, "cluster long, cls long, n long, d long, e long"), "differences")
         # The member with most slack is linked to every one that is linked through the centre.
         own = apart.select("cluster", "cls", "n", "d").distinct().withColumn("slack", self._slack())
         best = materialize(own.groupBy("cluster").agg(F.max(F.struct("slack", "cls")).alias("top")).select("cluster", F.col("top.slack").alias("top"), F.col("top.cls").alias("top_cls")), "tops")
