@@ -186,7 +186,7 @@ def _bound(num: int, den: int):
     """The pairs whose cells don't rule out a link: each cell is a pivot set, and counts in it differ by the distance at most."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, 2048):
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (3, 4))
             apart = np.abs(x - y).sum(axis=1)
             keep = (den + num) * apart <= (den - num) * batch.column(2).to_numpy()
@@ -209,11 +209,18 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(union)], ["a", "b", "common", "union"])
 
 
-def _tally(batches):
-    """(cluster, e, n): how many of the batch's members of a cluster hold each shingle."""
+def _slices(batches, rows: int = 256):
+    """Parts of the batches, so that what is made of one stays small."""
     for batch in batches:
-        cluster = batch.column(0).to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _tally(batches):
+    """(cluster, e, n): how many members of a cluster, among some, hold each shingle."""
+    for part in _slices(batches):
+        cluster = part.column(0).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
         for c in np.unique(cluster):
             e, n = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(cluster == c)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), c, np.int64)), pa.array(e.view(np.int64)), pa.array(n.astype(np.int64))], ["cluster", "e", "n"])
@@ -221,22 +228,21 @@ def _tally(batches):
 
 def _differences(batches):
     """(cluster, cls, n, d, e): the elements in which each member differs from its cluster's consensus."""
-    for batch in batches:
+    for part in _slices(batches):
         rows, found = [], []
-        for i in range(batch.num_rows):
-            x = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-            held = batch.column(4)[i]
-            c = np.sort(held.values.to_numpy().view(np.uint64)) if held.is_valid else np.zeros(0, np.uint64)
+        for i in range(part.num_rows):
+            x = np.frombuffer(part.column(3)[i].as_buffer(), np.uint64)
+            held = part.column(4)[i]
+            c = held.values.to_numpy().view(np.uint64) if held.is_valid else np.zeros(0, np.uint64)
             z = np.sort(np.concatenate((x, c)))
             twice = z[1:] == z[:-1]
             e = z[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))]
             rows.append(np.full(max(1, len(e)), i))
             found.append(pa.array(e.view(np.int64)) if len(e) else pa.nulls(1, pa.int64()))
-        if rows:
-            at = np.concatenate(rows)
-            d = np.array([len(f) - f.null_count for f in found], np.int64)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
+        at = np.concatenate(rows)
+        d = np.array([len(f) - f.null_count for f in found], np.int64)
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
 
 
 def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
