@@ -121,6 +121,13 @@ def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("status <> 'moved'").select(F.col("position").alias("page_id"), "file", "offset", "length", "digest", "replica_digest", "status")
 
 
+def op1_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit the pages against a damaged copy: every row of the audit, moved records too."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = audit(pages, damaged_copy(pages), "page_id", warc_record(F.col("url"), F.col("html")))
+    return found.select(F.col("position").alias("page_id"), "file", "offset", "length", "digest", "replica_offset", "replica_length", "replica_digest", "copies", "replica_copies", "status")
+
+
 ORACLE = rf"""
 WITH p AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce('=' || url, '-') || chr(13) || chr(10) || chr(13) || chr(10) AS head, coalesce('=' || html, '-') AS body,
   chr(13) || chr(10) || chr(13) || chr(10) AS tail, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 7))::BIGINT AS dice FROM pages),
@@ -129,3 +136,27 @@ o AS (SELECT *, page_id // {FILE} AS file, (sum(length) OVER (PARTITION BY page_
 SELECT page_id, file, "offset", length, digest, CASE WHEN dice % {LOSS} <> 0 THEN sha256(head || body || chr(0) || tail) END AS replica_digest,
   CASE WHEN dice % {LOSS} = 0 THEN 'missing' ELSE 'corrupt' END AS status FROM o WHERE dice % {LOSS} = 0 OR dice % {DAMAGE} = 0
 """
+
+
+def _audit_sql() -> str:
+    ledger = lambda name, rows: (
+        f"{name}r AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce('=' || url, '-') || chr(13) || chr(10) || chr(13) || chr(10) || coalesce('=' || html, '-') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM {rows}), "
+        f"{name}l AS (SELECT page_id, sha256(record) AS digest, strlen(record)::BIGINT AS length, count(*) AS copies FROM {name}r GROUP BY ALL), "
+        f"{name} AS (SELECT *, (sum(length * copies) OVER (PARTITION BY page_id // {FILE} ORDER BY page_id, digest) - length * copies)::BIGINT AS o FROM {name}l)"
+    )
+    turn = "row_number() OVER (PARTITION BY page_id ORDER BY digest, length) AS turn"
+    return f"""
+WITH d AS (SELECT page_id, url, html, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 7))::BIGINT AS dice FROM pages),
+c AS (SELECT page_id, url, CASE WHEN dice % {DAMAGE} = 0 THEN html || chr(0) ELSE html END AS html FROM d WHERE dice % {LOSS} <> 0),
+{ledger('x', 'd')},
+{ledger('y', 'c')},
+s AS (SELECT page_id, digest, length, x.o AS o1, y.o AS o2, coalesce(x.copies, 0) AS c1, coalesce(y.copies, 0) AS c2 FROM x FULL JOIN y USING (page_id, digest, length)),
+a AS (SELECT page_id, {turn}, digest AS d1, length AS l1, o1, c1 - c2 AS n1 FROM s WHERE c1 > c2),
+b AS (SELECT page_id, {turn}, digest AS d2, length AS l2, o2, c2 - c1 AS n2 FROM s WHERE c2 > c1),
+f AS (SELECT page_id, o1, l1, d1, o2, l2, d2, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, CASE WHEN d2 IS NULL THEN 'missing' WHEN d1 IS NULL THEN 'extra' ELSE 'corrupt' END AS status FROM a FULL JOIN b USING (page_id, turn)
+  UNION ALL SELECT page_id, o1, length, digest, o2, length, digest, c1, c2, 'moved' FROM s WHERE c1 = c2 AND o1 <> o2)
+SELECT page_id, page_id // {FILE} AS file, o1 AS "offset", l1 AS length, d1 AS digest, o2 AS replica_offset, l2 AS replica_length, d2 AS replica_digest, n1 AS copies, n2 AS replica_copies, status FROM f
+"""
+
+
+AUDIT_ORACLE = _audit_sql()

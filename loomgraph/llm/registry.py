@@ -6,6 +6,7 @@ from loomgraph.llm import cascade, chat, classifier, decontam, fixity, jaccard,
 
 QUERIES = {
     "op1_fixity": fixity.op1_fixity,
+    "op1_fixity_audit": fixity.op1_fixity_audit,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_kdtree": kdtree.op3_kdtree,
     "op4_perspectives": chat.op4_perspectives,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_fixity": fixity.ORACLE,
+    "op1_fixity_audit": fixity.AUDIT_ORACLE,
     "op4_perspectives": chat.ORACLE,
     "op5_licenses": licenses.ORACLE,
     "op6_mixing": mixing.ORACLE,

@@ -44,3 +44,24 @@ def test_only_differing_branches_are_joined(spark):
     assert {r["file"] for r in got} == {2100 // fixity.FILE}
     assert [r["position"] for r in got if r["status"] == "corrupt"] == [2100]
     assert all(r["position"] > 2100 for r in got if r["status"] == "moved")
+
+
+def test_query_returns_moved_records(spark, tmp_path):
+    pages = [(i, f"http://x/{i}", "body " * (i % 9)) for i in range(600)] + [(7, "http://x/7", "body " * 7)]
+    df = spark.createDataFrame(pages, SCHEMA)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    size = lambda u, h: len(f"WARC/1.1\r\nWARC-Target-URI: ={u}\r\n\r\n={h}\r\n\r\n")
+    copy = fixity.damaged_copy(df).collect()
+    starts = []
+    for side in (pages, copy):
+        at, found = 0, {}
+        for i, u, h in sorted(map(tuple, side)):
+            found.setdefault(i, (at, h))
+            at += size(u, h)
+        starts.append(found)
+    mine, other = starts
+    want = {(i, o, other[i][0]) for i, (o, h) in mine.items() if i in other and other[i][1] == h and other[i][0] != o}
+    got = fixity.op1_fixity_audit(spark, str(tmp_path)).collect()
+    assert want and {(r["page_id"], r["offset"], r["replica_offset"]) for r in got if r["status"] == "moved"} == want
+    assert {r["page_id"] for r in got if r["status"] == "missing"} == set(mine) - set(other)
+    assert [(r["copies"], r["replica_copies"]) for r in got if r["page_id"] == 7 and r["status"] == "moved"] in ([], [(2, 2)])
