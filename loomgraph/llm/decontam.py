@@ -84,7 +84,7 @@ class Matcher:
                     if p + b - a > hi or h[p : p + b - a].tolist() != item.words[a:b]:
                         continue
                     left, right = max(lo, p - a - item.budget), min(hi, p - a + len(item.words) + item.budget)
-                    if done.get((d, number), -1) == p - a:  # the same alignment, from another piece
+                    if done.get((d, number)) == p - a:  # the same alignment, from another piece
                         continue
                     done[d, number] = p - a
                     distance, start, end = align(item, h[left:right].tolist())

@@ -82,3 +82,11 @@ def test_long_text_and_empty_tables(spark):
     assert [tuple(r) for r in decontam.find_leaks(d, q).collect()] == [(1, 9, 0, 240_000, 240_040, 40)]
     assert decontam.find_leaks(d.limit(0), q).count() == 0
     assert decontam.find_leaks(d, q.limit(0)).count() == 0
+
+
+def test_first_word_missing_at_the_start(spark):
+    item = [f"p{i}" for i in range(38)]
+    d = spark.createDataFrame([(1, " ".join(item[1:] + ["tail"] * 20))], "doc_id long, text string")
+    q = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontam.find_leaks(d, q).collect()] == [(1, 9, 1, 0, 37, 38)]
+    assert decontam.drop_leaks(d, q).count() == 0
