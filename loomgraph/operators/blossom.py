@@ -27,16 +27,20 @@ def maximum_pairs(edges: list[tuple]) -> set[tuple]:
         a, b = index[u], index[v]
         if a != b and mate[a] < 0 and mate[b] < 0:
             mate[a], mate[b] = b, a
+    gone = [False] * n
     for root in range(n):
         if mate[root] < 0:
-            _augment(root, near, mate)
+            _augment(root, near, mate, gone)
     names = list(index)
     chosen = {frozenset((names[a], names[b])) for a, b in enumerate(mate) if b > a}
     return {e for e in edges if e[0] != e[1] and frozenset(e) in chosen}
 
 
-def _augment(root: int, near: list[list[int]], mate: list[int]) -> bool:
-    """Search from a free vertex; on success flip the path and return True."""
+def _augment(root: int, near: list[list[int]], mate: list[int], gone: list[bool]) -> bool:
+    """Search from a free vertex; on success flip the path and return True.
+
+    No later search can gain from the tree of a failed one, so its vertices are gone.
+    """
     n = len(near)
     base = list(range(n))
     link: dict[int, int] = {}  # the even vertex from which an odd one was reached
@@ -66,7 +70,7 @@ def _augment(root: int, near: list[list[int]], mate: list[int]) -> bool:
     while queue:
         v = queue.popleft()
         for w in near[v]:
-            if base[v] == base[w] or mate[v] == w:
+            if gone[w] or base[v] == base[w] or mate[v] == w:
                 continue
             if w == root or (mate[w] >= 0 and mate[w] in link):  # w is even too: an odd cycle
                 top = common(v, w)
@@ -90,4 +94,6 @@ def _augment(root: int, near: list[list[int]], mate: list[int]) -> bool:
                     return True
                 even.add(mate[w])
                 queue.append(mate[w])
+    for x in (*even, *link):
+        gone[x] = True
     return False

@@ -299,3 +299,52 @@ def reach_checksum(spark, d):
 def edge_sample_hash(spark, d):
     edges = model.canonical(graph(spark, d, "full"))
     return model.sample_edges(edges, 10_000)
+
+
+def _even_ends(edges):
+    return model.vertices(matching.maximal_matching(edges).where("weight % 2 = 0"))
+
+
+def _searched(edges):
+    simple = model.canonical(edges)
+    return search.bfs_records(model.adjacency(simple, _first(simple))).select("id", "distance", "color")
+
+
+def _size(found):
+    return found.agg(F.count(F.lit(1)).alias("edges"))
+
+
+#: The operators over all rows of lineitem and orders; recursion in SQL is too slow for these.
+ROWS = {
+    "components": cc.connected_components,
+    "component_members": lambda e: grouping.component_members(cc.connected_components(e)).select("component", F.array_join("members", ",").alias("members")),
+    "component_edges": lambda e: grouping.component_edges(model.canonical(e), cc.connected_components(e)),
+    "component_count": lambda e: grouping.component_count(cc.connected_components(e)),
+    "msf_edges": forest.spanning_forest,
+    "msf_total_weight": lambda e: forest.spanning_forest(e).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("edges")),
+    "bfs_levels": lambda e: search.bfs(e, _first(e)),
+    "bfs_frontier_sizes": lambda e: search.bfs(e, _first(e)).groupBy("distance").agg(F.count(F.lit(1)).alias("vertices")),
+    "bfs_multi_source": lambda e: search.bfs(e, model.vertices(e).where("vertex % 97 = 1")),
+    "bfs_records": _searched,
+    "maximal_matching": matching.maximal_matching,
+    "matched_vertex_filter": lambda e: model.uncovered_edges(model.canonical(e), _even_ends(e)),
+    "uncovered_edge_filter": lambda e: model.half_covered_edges(model.canonical(e), _even_ends(e)),
+    "vertex_cover": cover.vertex_cover,
+    "edge_cover": cover.edge_cover,
+    "edge_cover_topup": lambda e: cover.cover_topup(e, matching.maximal_matching(e)),
+    "reach_bitmaps": lambda e: sketch.reach_bitmaps(e, 16),
+    "reach_estimates": lambda e: sketch.estimate_reachable(e, 16),
+    "reach_summary": lambda e: sketch.reach_summary(e, REACH_KS),
+    "reach_checksum": lambda e: sketch.ordered_checksum(sketch.estimate_reachable(e, 16)),
+}
+for _name, _f in ROWS.items():
+    QUERIES[f"{_name}_rows"] = lambda spark, d, f=_f: f(graph(spark, d, "rows"))
+
+#: One blossom search a component, which must fit a worker: over all lineitem rows, without the orders.
+FULL = {
+    "maximum_matching_size": lambda e: _size(matching.maximum_matching(e)),
+    "edge_cover_maximum_size": lambda e: _size(cover.edge_cover(e, maximum=True)),
+    "vertex_cover_maximum_check": lambda e: cover.check_vertex_cover(e, cover.vertex_cover(e, maximum=True)),
+}
+for _name, _f in FULL.items():
+    QUERIES[f"{_name}_full"] = lambda spark, d, f=_f: f(graph(spark, d, "full"))
