@@ -132,18 +132,17 @@ def _info(k: int):
 
 
 def _emit(k: int, num: int, den: int):
-    """(sig, id) rows; copies within one batch are emitted once."""
+    """(sig, h1) rows, by the set and not by the id; copies within one batch are emitted once."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             seen, sig, who, count, own = set(), [], [], [], 0
             for i, s in _sets(batch, k):
                 if not len(s) or (key := _key(s)) in seen:
                     continue
                 seen.add(key)
                 sig.append(signatures(s, num, den))
-                who.append(key[0] if ids[i] is None else ids[i])
+                who.append(key[0])
                 count.append(len(sig[-1]))
                 own += count[-1]
                 if own > EMIT:
@@ -153,7 +152,7 @@ def _emit(k: int, num: int, den: int):
                 yield _pairs(sig, who, count)
 
     def _pairs(sig, who, count):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), count))], ["sig", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), count))], ["sig", "h1"])
 
     return run
 
@@ -264,11 +263,11 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     classes = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min(F.coalesce("doc_id", "h1")).alias("id"), F.min("n").alias("n"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     own = held.where("doc_id is not null").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("id")).alias("emits"))
-    raw = _without(docs, materialize(own.where("not emits").select(F.col("doc_id").alias("key")), "copies")).mapInArrow(_emit(k, num, den), "sig long, id long")
-    shared = materialize(_in_several(raw, "id").select("sig", "id"), "shared")
+    raw = _without(docs, materialize(own.where("not emits").select(F.col("doc_id").alias("key")), "copies")).mapInArrow(_emit(k, num, den), "sig long, h1 long")
+    shared = materialize(_in_several(raw, "h1").select("sig", "h1"), "shared")
     free_shuffles(df.sparkSession)  # this one is by far the largest
-    named = shared.join(classes.select("id", "cls", "n"), "id").select("sig", "cls", "n")
-    regions = materialize(_in_several(named, "cls").select("sig", "cls", "n"), "regions")
+    named = shared.join(classes.select("h1", "cls", "n"), "h1").select("sig", "cls", "n")
+    regions = materialize(_in_several(named, "cls").select("sig", "cls", "n").distinct(), "regions")
     links = _join_regions(docs, classes, regions, k, num, den)
     if links is None:
         whole = classes.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
@@ -338,9 +337,9 @@ class _Join:
         self.cells = materialize(self._read(classes).select("cls", "cells"), "cells")
 
     def _read(self, classes: DataFrame) -> DataFrame:
-        """The sets of some classes, from the documents that stand for them."""
+        """The sets of some classes, one row each, from the documents that stand for them."""
         near = self.docs.where(F.col("doc_id").isNull() | maybe_in(F.col("doc_id"), classes.select(F.col("id").alias("key"))))
-        return near.mapInArrow(_members(self.k), "id long, h1 long, h2 long, cells binary, members binary").join(classes, ["id", "h1", "h2"])
+        return near.mapInArrow(_members(self.k), "id long, h1 long, h2 long, cells binary, members binary").join(classes, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
 
     def fetch(self, ids: DataFrame) -> None:
         """Have the whole sets of these classes (key) at hand; documents are read only for new ones."""

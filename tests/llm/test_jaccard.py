@@ -114,3 +114,29 @@ def test_one_of_each_keeps_the_least_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i for i, _, c in brute(rows, 5, 80, 100) if i == c}
     assert {r["doc_id"] for r in jaccard.one_of_each(df).collect()} == want
+
+
+def test_repeated_rows_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "CENTRED", 8)
+    rows = corpus(4)
+    rows = [(None, t) if i % 9 == 0 else (i, t) for i, t in rows for _ in range(2)]
+    twin = " ".join(f"t{i}" for i in range(90))
+    rows += [(1000, "another text of this id " * 9), (1000, twin), (999, twin + " end"), (None, twin), (998, twin)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = jaccard.jaccard_components(df, 3, 90, 100).select("doc_id", "n_shingles", "component_id").collect()
+    least = [(10**6 if i is None else i, t) for i, t in rows]
+    empty = lambda r: r[1] == 0
+    got = sorted((10**6 if i is None else i, n, 10**6 if c is None else c) for i, n, c in found)
+    assert [x for x in got if not empty(x)] == [x for x in brute(least, 3, 90, 100) if not empty(x)]
+
+
+def test_one_set_row_a_class(spark):
+    rows = [(i, t) for i, t in corpus(5)] * 2 + [(None, "a b c d e f"), (None, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    info = df.mapInArrow(jaccard._info(3), "doc_id long, n long, h1 long, h2 long").where("n > 0")
+    classes = info.selectExpr("coalesce(doc_id, h1) as id", "h1", "h2").groupBy("h1", "h2").agg({"id": "min"}).withColumnRenamed("min(id)", "id").selectExpr("id", "h1", "h2", "xxhash64(h1, h2) as cls")
+    state = jaccard._Join(df, classes, 3, 90, 100)
+    assert state.cells.count() == classes.count()
+    state.fetch(classes.selectExpr("cls as key"))
+    assert state.sets.count() == classes.count()
