@@ -11,6 +11,7 @@ Documents near the edge of a size band are replicated into the next band.
 Inside a region the join is the metric one, and recursive.  First one member serves as
 the pivot of a star: all others are measured against it, and those within the radius are
 linked.  Members that links have joined to one component need no further test among them.
+(This and the star are left out where every link is to be counted.)
 A small region is then finished pair by pair.  A large one is described anew around a
 pivot in its middle, the consensus set c of shingles that most members hold: a member x
 becomes its difference D(x) from c, at distance |D(x)|.  With d(x, y) >= | |D(x)| - |D(y)| |
@@ -244,14 +245,14 @@ def _differences(batches):
         yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
 
 
-def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text", every: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each row of ``df``.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; two rows link when their
     sets of k-word shingles have den * intersection >= num * union.  ``class_id`` is the
     least doc_id of an equal set, ``component_id`` the least doc_id reachable by links.
-    ``n_links`` counts the links that the join tested and found between the row's class
-    and others; links inside a component already joined aren't tested.  A row without
+    ``n_links`` counts all other classes that the row's class links to; without ``every``
+    links inside a component already joined aren't tested, and there is no n_links.  A row without
     words (null, empty or blank text) is alone.  Null ids stay null, and a component of
     null ids only has a null component_id.  Rows that repeat are one class.
     """
@@ -268,7 +269,7 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     free_shuffles(df.sparkSession)  # this one is by far the largest
     named = shared.join(classes.select("h1", "cls", "n"), "h1").select("sig", "cls", "n")
     regions = materialize(_in_several(named, "cls").select("sig", "cls", "n").distinct(), "regions")
-    links = _join_regions(docs, classes, regions, k, num, den)
+    links = _join_regions(docs, classes, regions, k, num, den, every)
     if links is None:
         whole = classes.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
     else:
@@ -280,10 +281,11 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
         whole = classes.join(joined, "cls", "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
     out = info.join(whole.select("h1", "h2", "class_id", "component_id", "n_links"), ["h1", "h2"], "left")
     empty = F.col("n") == 0
-    return out.select(
+    out = out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+    return out if every else out.drop("n_links")
 
 
 def _in_several(rows: DataFrame, column: str) -> DataFrame:
@@ -299,23 +301,24 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(~may).unionByName(docs.where(may).join(ids.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti"))
 
 
-def _join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """The verified links (a, b) between classes, enough to join every component."""
+def _join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, k: int, num: int, den: int, every: bool) -> DataFrame | None:
+    """The verified links (a, b) between classes: every one, or enough to join every component."""
     wanted = materialize(classes.join(regions.select("cls").distinct(), "cls").select("id", "h1", "h2", "cls"), "wanted")
     if wanted.isEmpty():
         return None
-    state = _Join(docs, wanted, k, num, den)
+    state = _Join(docs, wanted, k, num, den, every)
     # d and i: the size of a member's difference from its region's last centre, and the shared element's place in it.
     active = regions.select("sig", "cls", "n", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("i"))
     for turn in range(MAX_TURNS):
         active = state.open(active)
         if active.isEmpty():
             return state.links
-        star = active.groupBy("sig").agg(F.min(F.struct("cls", "comp", "n", "d", "i")).alias("p"))
-        state.test(star.select("sig", "p.*"), active)
-        active = state.open(active)
-        if active.isEmpty():
-            return state.links
+        if not every:
+            star = active.groupBy("sig").agg(F.min(F.struct("cls", "comp", "n", "d", "i")).alias("p"))
+            state.test(star.select("sig", "p.*"), active)
+            active = state.open(active)
+            if active.isEmpty():
+                return state.links
         sized = active.withColumn("load", F.count(F.lit(1)).over(W.partitionBy("sig")))
         most = F.when(F.col("d").isNull(), SMALL).otherwise(CENTRED)
         small = sized.where(F.col("load") <= most).drop("load")
@@ -329,9 +332,10 @@ def _join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, k: in
 
 
 class _Join:
-    """Links found so far, the pairs tested, and the components that the links make."""
+    """Links found so far, the pairs tested, and (unless every link is wanted) the components that the links make."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, every: bool = False):
+        self.every = every
         self.docs, self.classes, self.k, self.num, self.den = docs, classes, k, num, den
         self.tested = self.links = self.components = self.sets = None
         self.cells = materialize(self._read(classes).select("cls", "cells"), "cells")
@@ -397,6 +401,8 @@ class _Join:
 
     def _add(self, fresh: DataFrame) -> None:
         self.links = fresh if self.links is None else self.links.unionByName(fresh)
+        if self.every:
+            return
         self.components = materialize(label_nodes(self.links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
 
     def recentre(self, large: DataFrame, turn: int) -> DataFrame:
@@ -419,8 +425,17 @@ class _Join:
         # The member with most slack is linked to every one that is linked through the centre.
         own = apart.select("cluster", "cls", "n", "d").distinct().withColumn("slack", self._slack())
         best = materialize(own.groupBy("cluster").agg(F.max(F.struct("slack", "cls")).alias("top")).select("cluster", F.col("top.slack").alias("top"), F.col("top.cls").alias("top_cls")), "tops")
-        sure = own.join(best, "cluster").where("slack + top >= 0 and cls <> top_cls")
-        self._add(materialize(sure.select(F.least("cls", "top_cls").alias("a"), F.greatest("cls", "top_cls").alias("b")), "sure"))
+        sure = own.join(best, "cluster").where("slack + top >= 0")
+        if self.every:
+            x, y = (sure.select("cluster", F.col("cls").alias(c), F.col("slack").alias(f"{c}_slack")) for c in "ab")
+            pairs = x.join(y, "cluster").where("a < b and a_slack + b_slack >= 0").select("a", "b").distinct()
+            if self.tested is not None:
+                pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "sure")
+            self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        else:
+            pairs = materialize(sure.where("cls <> top_cls").select(F.least("cls", "top_cls").alias("a"), F.greatest("cls", "top_cls").alias("b")), "sure")
+        self._add(pairs)
         # A link that isn't sure shares at least ``need`` elements; the rarest of them is in both prefixes.
         step = 2 * (self.den + self.num)
         spread = W.partitionBy("cluster", "e")
@@ -438,7 +453,7 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
     rows with a null id stay, since no id can stand for their group.  Only rows whose id
     may be dropped are shuffled: a bounded bitmap lets the others through first.
     """
-    found = jaccard_components(df, k, num, den, id_col, text)
+    found = jaccard_components(df, k, num, den, id_col, text, every=False)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
     odd = materialize(ids.where("low < doc_id or rows > 1").select(F.col("doc_id").alias("key"), (F.col("low") < F.col("doc_id")).alias("dropped")), "dropped")
     may = maybe_in(F.col(id_col).cast("long"), odd)
@@ -449,4 +464,4 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_components(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(docs, 3, 90, 100).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")

@@ -140,3 +140,16 @@ def test_one_set_row_a_class(spark):
     assert state.cells.count() == classes.count()
     state.fetch(classes.selectExpr("cls as key"))
     assert state.sets.count() == classes.count()
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_every_link_is_counted(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "CENTRED", 2 * small)
+    rows = corpus(7)
+    sets = [(i, shingle_set(t, 3)) for i, t in rows]
+    kinds = {s: min(i for i, x in sets if x == s) for _, s in sets if s}
+    links = {s: sum(x != s and 100 * len(s & x) >= 90 * len(s | x) for x in kinds) for s in kinds}
+    want = sorted((i, kinds.get(s, i), links.get(s, 0)) for i, s in sets)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90, 100)
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == want
