@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.plans.store import materialize
+
 SPAN = 256  # turn numbers of a part
 MOST = 4096  # rows of a part, about
 OPEN, CLOSE, END = "<|im_start|>", "<|im_end|>", "\n"
@@ -45,9 +47,14 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
     rows = rows.groupBy("conv_id", "span", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("copies"))
     loads = turns.groupBy(F.col(conv).alias("conv_id"), F.floor(F.coalesce(F.col(turn).cast("long"), F.lit(0).cast("long")) / SPAN).alias("span")).agg(F.count(F.lit(1)).alias("load"))
     dealt = rows.alias("r").join(loads.alias("l"), F.col("r.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("r.span") == F.col("l.span")))
-    over = F.when(F.col("load") > MOST, F.pmod(F.xxhash64("r.turn", "speaker", "text"), F.ceil(F.col("load") / MOST))).otherwise(F.lit(0))
-    # Dealt-out rows still follow the turn order from piece to piece where turns differ.
-    pieces = dealt.select("r.conv_id", "r.span", F.when(F.col("load") > MOST, F.col("r.turn")).otherwise(F.lit(0)).alias("step"), over.cast("long").alias("deal"), "r.turn", "speaker", "text", "copies")
+    cols = [F.col("r.conv_id").alias("conv_id"), F.col("r.span").alias("span"), F.col("r.turn").alias("turn"), "speaker", "text", "copies"]
+    none = F.lit(0).cast("long")
+    pieces = dealt.where(F.col("load") <= MOST).select(*cols).withColumns({"step": none, "deal": none})
+    hot = loads.where(F.col("load") > MOST).agg(F.sum("load")).first()[0]
+    if hot:  # ranges of a global sort, so that dealt-out rows stay in the order of turn, role and text
+        ranges = dealt.where(F.col("load") > MOST).select(*cols).repartitionByRange(-(-hot // MOST), "conv_id", "span", "turn", "speaker", "text")
+        ranges = ranges.withColumns({"step": F.col("turn"), "deal": F.spark_partition_id().cast("long")})
+        pieces = pieces.unionByName(materialize(ranges, "ranges"))
     parts = pieces.groupBy("conv_id", "span", "step", "deal").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "copies"))).alias("m"), F.sum("copies").alias("n"))
     order = W.partitionBy("conv_id").orderBy("span", "step", "deal")
     placed = parts.withColumn("part", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))

@@ -55,3 +55,15 @@ def test_empty_and_extra_columns(spark):
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     df = spark.createDataFrame([(1, 0, "user", "hi", 9, "z")], "conv_id long, turn long, role string, text string, part int, span string")
     assert chat.rotate_perspectives(df).first()["rendered"] == "<|im_start|>assistant\nhi<|im_end|>\n"
+
+
+def test_hot_turn_keeps_the_order(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST", 10)
+    many = [(c, t, ["user", "bob"][i % 2], f"x{i * 37 % 100}") for c in (1, None) for t in (None, 3) for i in range(60)] + [(1, 4, "assistant", "end")]
+    df = spark.createDataFrame(many, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {}
+    for r in sorted(chat.rotate_perspectives(df).collect(), key=lambda r: r["part"]):
+        text, n = got.get((r["conv_id"], r["participant"]), ("", 0))
+        assert r["offset"] == n
+        got[r["conv_id"], r["participant"]] = (text + r["rendered"], n + r["n_messages"])
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in brute(many).items()}
