@@ -61,8 +61,8 @@ def spaces(text: Column) -> Column:
 
 
 def blocks_of(text: Column) -> Column:
-    """Cut after sentence ends and at blank lines."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n\n"), r"\n[ \t\r]*\n\s*")
+    """Cut after sentence ends and at blank lines; the dot of a one-letter abbreviation (v. 2.0) ends no sentence."""
+    return F.split(F.regexp_replace(text, r"([!?]|(?<!(?<![A-Za-z0-9])[A-Za-z])\.)[ \t\r\n]+", "$1\n\n"), r"\n[ \t\r]*\n\s*")
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:

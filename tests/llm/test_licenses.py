@@ -56,3 +56,10 @@ def test_empty_table_and_extra_columns(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "under the mit license", 3, "x")], "doc_id long, text string, _row int, labels string")
     assert licenses.scan_licenses(df).first()["labels"] == "mit"
+
+
+def test_abbreviation_ends_no_block(spark):
+    notice = "Hello there. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    df = spark.createDataFrame([(1, notice)], "doc_id long, text string")
+    got = licenses.scan_licenses(df).first()
+    assert (got["labels"], got["score"]) == ("mpl-2", 1.0)
