@@ -8,11 +8,14 @@ tables survive the loss of any executor, unlike a local checkpoint.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +36,36 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/loomgraph-{spark.sparkContext.applicationId}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables materialized inside when the block ends, but for those it was told to keep.
+
+    The block gets the function that keeps a table (for an enclosing block, if there is one).
+    Whatever the block hands out may read kept tables only.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._scratch_path)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+        free_shuffles(spark)
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back (lineage ends there)."""
     spark = df.sparkSession
@@ -40,6 +73,8 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(path)
     return back
 
 
@@ -79,6 +114,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     name = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    folder = tempfile.mkdtemp()
+    folder = tempfile.mkdtemp()  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", top, name))
     _shipped.add(app)
