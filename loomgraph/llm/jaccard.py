@@ -1,34 +1,38 @@
 """N-gram Jaccard join: an exact self-join of shingle sets in the Jaccard metric space.
 
-Regions.  Jaccard distances between unrelated texts all lie just under 1, so Voronoi
-cells around pivot documents of the whole corpus would replicate every document into
-every cell (the triangle inequality prunes nothing within 1 +- 0.1).  The top level
-therefore cuts the space into regions by exact partial agreement: two sets that link
-differ in at most k elements, so if a band of sizes is cut into m > k hash ranges, they
-agree exactly in m - k of them.  A region holds the documents that agree in one range.
-Documents near the edge of a size band are replicated into the next band.
-
-Inside a region the join is the metric one, and recursive.  First one member serves as
-the pivot of a star: all others are measured against it, and those within the radius are
-linked.  Members that links have joined to one component need no further test among them.
-(This and the star are left out where every link is to be counted.)
-A small region is then finished pair by pair.  A large one is described anew around a
-pivot in its middle, the consensus set c of shingles that most members hold: a member x
-becomes its difference D(x) from c, at distance |D(x)|.  With d(x, y) >= | |D(x)| - |D(y)| |
-and d(x, y) <= |D(x)| + |D(y)| (triangle inequality) pairs are skipped or linked without a
-test, and any other linked pair must share elements of its differences: the members that
-share one of their rarest ones form the regions of the next turn.  An element is shared by
-half of the members at most, so regions halve from turn to turn.
-
 Exact copies collapse first: documents of equal set hash (128 bits) form one class.
+
+Candidates.  Jaccard distances between unrelated texts all lie just under 1, so Voronoi
+cells around pivots of the whole corpus would replicate every document into every cell
+(the triangle inequality prunes nothing within 1 +- 0.1).  The space is therefore first cut
+by content: all sets are put into one global order, and two sets that link share an element
+among the first n - ceil(t n) + 1 of each.  The order puts elements last that many
+documents hold, judged by a sketch of 2**20 counters over all shingles of all documents;
+any order gives the same links, this one keeps common passages from making regions.
+
+Voronoi cells.  The classes that share a prefix element form a region.  In a small region
+pairs are tested one by one, behind the size and positional filters.  A large region names
+its least member a leader; leaders within the radius of a lesser one yield to it, the others
+are the pivots.  Every member of a large region goes to the cell of the nearest of the leaders
+that it met most often.  A document of another cell is replicated into a cell whose members it
+met, if those filters allow and the triangle inequality leaves a window: the difference of the
+two distances to the pivot must not exceed the radius.
+
+Cells.  A cell's members are cut into blocks by rings of distance from the pivot, and pairs
+of blocks are joined on their own, unless the triangle inequality tells that they lie too
+far apart.  This is done twice.  First in the metric of counts in 256 hash cells (256 bytes
+a set), which never exceeds the true distance: what has no possible partner there goes no
+further.  Then in the true metric, on the members' differences from the pivot, which tell
+the distance of two members exactly and are far smaller than the sets; blocks that are all
+linked by the triangle inequality are counted without a test.  A pair of one cell is counted
+there, a pair of two cells in the cell of the lesser pivot, any other pair in its small
+region: no link is lost or counted twice.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from fractions import Fraction
-from functools import lru_cache
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,67 +43,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import distinct, mix, shingles, words
 from loomgraph.operators.components import label_nodes
-from loomgraph.plans.store import free_shuffles, materialize, ship_package
+from loomgraph.plans.store import free_shuffles, materialize, scratch_scope, ship_package
 
-LEVELS = 3
-SMALL = 32  # members of a region that is finished pair by pair
-CENTRED = 1024  # the same for a region around a centre, whose windows skip most pairs untested
-MAX_TURNS = 60  # regions halve each turn
+SMALL = 64  # members of a region whose pairs are tested one by one
+BLOCK = 512  # members of a cell's block, about; a member weighs 1 and 1 more for each 1,024 elements it differs in
+LEADERS = 3  # that a member is measured against; the cells that follow are exact with any
 EMIT = 200_000
 CELLS = 256  # hash cells whose counts bound the distance of two sets from below
-MAX_SIEVE_BITS = 1 << 26  # the sieve that is sent to tasks: 8 MB at most
-
-
-@lru_cache(maxsize=None)
-def _edges(num: int, den: int) -> np.ndarray:
-    """Lower ends of the size bands: a linked partner is at most one band away."""
-    grow = max(Fraction(3, 2), Fraction(den, num) * Fraction(21, 20))
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, int(out[-1] * grow)))
-    return np.array(out, np.int64)
-
-
-@lru_cache(maxsize=None)
-def _band(b: int, num: int, den: int) -> tuple[int, int]:
-    """(number of ranges, spare ranges) of a band: linked sets agree in more than ``spare`` of them."""
-    lo, hi = int(_edges(num, den)[b]), int(_edges(num, den)[b + 1]) - 1
-    k = 2 * hi * (den - num) // (den + num)  # the most elements in which two linked sets differ
-    least, spare = -(-lo * num // den), 0
-    for _ in range(8 if k else 0):
-        empty = (m := k + 1 + spare) * exp(-least / m)
-        spare = min(m, ceil(empty + 2 * sqrt(empty)))
-    return k + 1 + spare, spare
-
-
-def _range_hashes(s: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct ``s``: a hash of its content in each of m hash ranges, and which are empty."""
-    with np.errstate(over="ignore"):
-        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
-        sums = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)), out=sums[1:])
-        acc = sums[at[1:]] - sums[at[:-1]]
-        return mix(acc + mix(np.arange(m, dtype=np.uint64) + np.uint64(salt << 32))), at[1:] == at[:-1]
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Region keys of a set: any two sets with num * union <= den * intersection share one."""
-    n, out = len(s), []
-    edges = _edges(num, den)
-    own = int(np.searchsorted(edges, n, side="right")) - 1
-    bands = [own] + [own + 1] * (n * den >= num * int(edges[own + 1]))
-    for b in bands:
-        m, spare = _band(b, num, den)
-        for level in range(LEVELS):
-            t = s if level == 0 else np.sort(mix(s + np.uint64(level)))
-            h, empty = _range_hashes(t, m, b * LEVELS + level)
-            # With at most ``spare`` empty ranges, one of those agreed on has elements.
-            settled = int(empty.sum()) <= spare
-            out.append(h if level == LEVELS - 1 and not settled else h[~empty])
-            if settled:
-                break
-    return np.concatenate(out)
+SKETCH_BITS, SKETCH_PARTS = 20, 256
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,10 +67,17 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.concatenate([mix(a), mix(b)]).view(np.int64).tolist())
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    """The sketch's counter of each element."""
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _info(k: int):
-    """(doc_id, n, h1, h2) of each document."""
+    """(doc_id, n, h1, h2) of each document, and at the end of a task its counters as (part, counts)."""
+    names = ["doc_id", "n", "h1", "h2", "part", "counts"]
 
     def run(batches):
+        total, held, rows = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             h = np.zeros((2, batch.num_rows), np.int64)
@@ -127,323 +85,415 @@ def _info(k: int):
                 n[i] = len(s)
                 if len(s):
                     h[:, i] = _key(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[0]), pa.array(h[1])], ["doc_id", "n", "h1", "h2"])
+                    held.append(s)
+                    rows += len(s)
+                    if rows > EMIT:
+                        total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
+                        held, rows = [], 0
+            blank = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[0]), pa.array(h[1]), *blank], names)
+        if held:
+            total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
+        parts = np.minimum(total, 65535).astype(np.uint16).reshape(SKETCH_PARTS, -1)  # what saturates is common anyhow
+        some = np.flatnonzero(parts.any(axis=1))
+        blank = [pa.nulls(len(some), pa.int64()) for _ in range(4)]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names)
 
     return run
 
 
-def _emit(k: int, num: int, den: int):
-    """(sig, h1) rows, by the set and not by the id; copies within one batch are emitted once."""
+def _add_counters(batches):
+    """The sums of the counters of each part."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = np.frombuffer(counts.as_buffer(), np.uint16)
+            sums[part] = sums[part] + x if part in sums else x.astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+
+def _levels(info: DataFrame) -> bytes:
+    """How common each counter's elements are, compressed: 0 for nearly all, then half powers of 2 above the noise.
+
+    Its size is fixed (2**20 bytes), whatever the corpus.
+    """
+    parts = info.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add_counters, "part int, counts binary")
+    total = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS))
+    for r in parts.collect():
+        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.reshape(-1)
+    usual = total.mean() + 6 * np.sqrt(total.mean()) + 32
+    levels = np.where(total > usual, np.floor(2 * np.log2(np.maximum(total, 1) / usual)) + 1, 0)
+    return zlib.compress(np.minimum(levels, 255).astype(np.uint8).tobytes())
+
+
+def prefix(s: np.ndarray, num: int, den: int, levels: np.ndarray) -> np.ndarray:
+    """The first elements of a set in the global order (level, element); two sets that link share one of them."""
+    size = len(s) + (-num * len(s) // den) + 1
+    level = levels[_counter(s)]
+    rare = s[level == 0]
+    return rare[:size] if len(rare) >= size else s[np.argsort(level, kind="stable")[:size]]
+
+
+def _emit(k: int, num: int, den: int, packed: bytes, whole: bool):
+    """(sig, h1) of each prefix element, ``whole`` with (h2, n, i); copies within a task's recent sets are emitted once."""
+    names = ["sig", "h1", "h2", "n", "i"][: 5 if whole else 2]
 
     def run(batches):
+        levels = np.frombuffer(zlib.decompress(packed), np.uint8)
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            seen, sig, who, count, own = set(), [], [], [], 0
-            for i, s in _sets(batch, k):
+            sig, own, rows = [], [], 0
+            for _, s in _sets(batch, k):
                 if not len(s) or (key := _key(s)) in seen:
                     continue
+                if len(seen) >= 100_000:  # what is forgotten is emitted again, which does no harm
+                    seen.clear()
                 seen.add(key)
-                sig.append(signatures(s, num, den))
-                who.append(key[0])
-                count.append(len(sig[-1]))
-                own += count[-1]
-                if own > EMIT:
-                    yield _pairs(sig, who, count)
-                    sig, who, count, own = [], [], [], 0
-            if sig:
-                yield _pairs(sig, who, count)
-
-    def _pairs(sig, who, count):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), count))], ["sig", "h1"])
+                sig.append(prefix(s, num, den, levels))
+                own.append((*key, len(s)))
+                rows += len(sig[-1])
+                if rows > EMIT:
+                    yield table(sig, own)
+                    sig, own, rows = [], [], 0
+            yield table(sig, own)
+
+    def table(sig, own):
+        size = np.array([len(x) for x in sig], np.int64)
+        cols = [np.concatenate(sig).view(np.int64) if sig else np.zeros(0, np.int64)]
+        cols += [np.repeat(np.array(x, np.int64), size) for x in (zip(*own) if own else [[]] * 3)]
+        starts = np.cumsum(size) - size
+        cols.append(np.arange(size.sum()) - np.repeat(starts, size))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols[: len(names)]], names)
 
     return run
 
 
-def _members(k: int):
-    """(id, h1, h2, cells, members) of each document that has words."""
+def _members(k: int, whole: bool):
+    """(h1, h2, members) of each document that has words: the set, or its counts in hash cells."""
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for i, s in _sets(batch, k):
+            rows = []
+            for _, s in _sets(batch, k):
                 if len(s):
-                    a, b = _key(s)
-                    cells = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
-                    rows.append((a if (x := ids[i].as_py()) is None else x, a, b, cells.tobytes(), s.tobytes()))
+                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+                    rows.append((*_key(s), s.tobytes() if whole else np.minimum(counts, 255).astype(np.uint8).tobytes()))
                 if len(rows) >= 500:
-                    yield _table(rows)
+                    yield table(rows)
                     rows = []
-            yield _table(rows)
+            yield table(rows)
 
-    def _table(rows):
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "h1", "h2", "cells", "members"])
+    def table(rows):
+        cols = list(zip(*rows)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["h1", "h2", "members"])
 
     return run
 
 
-def _bound(num: int, den: int):
-    """The pairs whose cells don't rule out a link: each cell is a pivot set, and counts in it differ by the distance at most."""
+def _slices(batches, rows: int):
+    """Parts of the batches, so that what is made of one stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32)
 
-    def run(batches):
-        for batch in _slices(batches, 2048):
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for i in (3, 4))
-            apart = np.abs(x - y).sum(axis=1)
-            keep = (den + num) * apart <= (den - num) * batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return run
+def _apart(batches):
+    """(a, b, size, d): how far the two sets of each row lie apart by their counts in hash cells, at least."""
+    for batch in _slices(batches, 2048):
+        d = np.abs(_counts(batch.column(3)) - _counts(batch.column(4))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(d, pa.int64())], ["a", "b", "size", "d"])
+
+
+def _difference(x: pa.Scalar, y: pa.Scalar) -> np.ndarray:
+    """The elements of one of two sets alone, in order."""
+    z = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+    z.sort()
+    twice = z[1:] == z[:-1]
+    return z[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))]
+
+
+def _distance(batches):
+    """(a, b, size, d): the number of elements that one of the two sets of each row holds alone."""
+    for part in _slices(batches, 256):
+        d = [len(_difference(x, y)) for x, y in zip(part.column(3), part.column(4))]
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(d, pa.int64())], ["a", "b", "size", "d"])
 
 
 def _measure(batches):
-    """Sizes of intersection and union of the two sets of each row."""
-    for batch in batches:
-        a, b = batch.column(2), batch.column(3)
-        common, union = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for i in range(batch.num_rows):
-            x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-            z = np.concatenate((x, y))
-            z.sort()
-            common[i] = np.count_nonzero(z[1:] == z[:-1])
-            union[i] = len(z) - common[i]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(union)], ["a", "b", "common", "union"])
-
-
-def _slices(batches, rows: int = 256):
-    """Parts of the batches, so that what is made of one stays small."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+    """(cls, cell, d, diff): the same with those elements, of a class and its pivot."""
+    for part in _slices(batches, 256):
+        found = [_difference(x, y) for x, y in zip(part.column(3), part.column(4))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cls", "cell", "d", "diff"])
+
+
+def overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the rows share."""
+    m = len(rows)
+    out = np.zeros((m, m), np.int32)
+    e = np.concatenate(rows)
+    r = np.repeat(np.arange(m), [len(x) for x in rows])
+    by = np.argsort(e, kind="stable")
+    e, r = e[by], r[by]
+    starts = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+    load = np.diff(np.concatenate((starts, [len(e)])))
+    wide = load > 16
+    often = np.repeat(wide, load)
+    f, s = e[~often], r[~often]
+    for step in range(1, 16):  # elements that few rows hold, pair by pair
+        at = np.flatnonzero(f[step:] == f[:-step])
+        if not len(at):
+            break
+        out += np.bincount(s[at] * m + s[at + step], minlength=m * m).reshape(m, m).astype(np.int32)
+    number = np.repeat(np.cumsum(wide) - 1, load)[often]
+    held = r[often]
+    for first in range(0, int(wide.sum()), 4096):  # the others by products of matrices
+        near = (number >= first) & (number < first + 4096)
+        grid = np.zeros((m, 4096), np.float32)
+        grid[held[near], number[near] - first] = 1
+        out += np.triu(grid @ grid.T, 1).astype(np.int32)
+    return out + out.T
+
+
+def _block(group: pa.Table):
+    """The columns of one pair of blocks, and which pairs of its rows are to be judged here."""
+    cls, n, d = (group.column(c).to_numpy() for c in ("cls", "n", "d"))
+    home, right = (np.array(group.column(c).to_pylist(), bool) for c in ("home", "right"))
+    twins = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    asked = home[:, None] | home[None, :]  # two visitors are counted elsewhere
+    asked &= cls[:, None] != cls[None, :] if twins else right[:, None] != right[None, :]
+    return cls, n, d, asked
+
+
+def _hopeful_blocks(num: int, den: int):
+    """(cell, cls) of the members of one pair of blocks that may link by their counts in hash cells."""
+
+    def run(group: pa.Table) -> pa.Table:
+        cls, n, _, asked = _block(group)
+        x = _counts(group.column("diff").combine_chunks())
+        some = np.zeros(len(cls), bool)
+        for i in range(0, len(cls), 32):
+            far = np.abs(x[i : i + 32, None, :] - x[None, :, :]).sum(axis=2)
+            some[i : i + 32] = (asked[i : i + 32] & ((den + num) * far <= (den - num) * (n[i : i + 32, None] + n[None, :]))).any(axis=1)
+        return group.select(["cell", "cls"]).filter(pa.array(some))
+
+    return run
+
 
+def _test_blocks(num: int, den: int):
+    """(cls, n_links, root) of the members of one pair of blocks."""
 
-def _tally(batches):
-    """(cluster, e, n): how many members of a cluster, among some, hold each shingle."""
-    for part in _slices(batches):
-        cluster = part.column(0).to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-        for c in np.unique(cluster):
-            e, n = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(cluster == c)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), c, np.int64)), pa.array(e.view(np.int64)), pa.array(n.astype(np.int64))], ["cluster", "e", "n"])
-
-
-def _differences(batches):
-    """(cluster, cls, n, d, e): the elements in which each member differs from its cluster's consensus."""
-    for part in _slices(batches):
-        rows, found = [], []
-        for i in range(part.num_rows):
-            x = np.frombuffer(part.column(3)[i].as_buffer(), np.uint64)
-            held = part.column(4)[i]
-            c = held.values.to_numpy().view(np.uint64) if held.is_valid else np.zeros(0, np.uint64)
-            z = np.sort(np.concatenate((x, c)))
-            twice = z[1:] == z[:-1]
-            e = z[~(np.concatenate((twice, [False])) | np.concatenate(([False], twice)))]
-            rows.append(np.full(max(1, len(e)), i))
-            found.append(pa.array(e.view(np.int64)) if len(e) else pa.nulls(1, pa.int64()))
-        at = np.concatenate(rows)
-        d = np.array([len(f) - f.null_count for f in found], np.int64)
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(d[at]), pa.concat_arrays(found)], ["cluster", "cls", "n", "d", "e"])
-
-
-def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text", every: bool = True) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        cls, n, d, asked = _block(group)
+        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("diff")]
+        apart = d[:, None] + d[None, :] - 2 * overlaps(rows)
+        linked = asked & ((den + num) * apart <= (den - num) * (n[:, None] + n[None, :]))
+        root, last = cls.copy(), None
+        while last is None or (root != last).any():
+            last = root
+            root = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+        return pa.table({"cls": cls, "n_links": linked.sum(axis=1).astype(np.int64), "root": root})
+
+    return run
+
+
+def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each row of ``df``.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; two rows link when their
     sets of k-word shingles have den * intersection >= num * union.  ``class_id`` is the
     least doc_id of an equal set, ``component_id`` the least doc_id reachable by links.
-    ``n_links`` counts all other classes that the row's class links to; without ``every``
-    links inside a component already joined aren't tested, and there is no n_links.  A row without
+    ``n_links`` counts all other classes that the row's class links to.  A row without
     words (null, empty or blank text) is alone.  Null ids stay null, and a component of
     null ids only has a null component_id.  Rows that repeat are one class.
     """
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    info = materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long"), "sets")
-    held = info.where("n > 0")
-    # One row a class, with a number that the joins below carry; id is the one row of it that emits.
-    classes = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min(F.coalesce("doc_id", "h1")).alias("id"), F.min("n").alias("n"))
-    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    own = held.where("doc_id is not null").join(classes.select("h1", "h2", "id"), ["h1", "h2"]).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("id")).alias("emits"))
-    raw = _without(docs, materialize(own.where("not emits").select(F.col("doc_id").alias("key")), "copies")).mapInArrow(_emit(k, num, den), "sig long, h1 long")
-    shared = materialize(_in_several(raw, "h1").select("sig", "h1"), "shared")
-    free_shuffles(df.sparkSession)  # this one is by far the largest
-    named = shared.join(classes.select("h1", "cls", "n"), "h1").select("sig", "cls", "n")
-    regions = materialize(_in_several(named, "cls").select("sig", "cls", "n").distinct(), "regions")
-    links = _join_regions(docs, classes, regions, k, num, den, every)
-    if links is None:
-        whole = classes.withColumns({"component_id": F.col("class_id"), "n_links": F.lit(0).cast("long")})
-    else:
+    with scratch_scope(spark) as keep:
+        info = keep(materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long, part int, counts binary"), "sets"))
+        sets = info.where("part is null").select("doc_id", "n", "h1", "h2")
+        classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
+        classes = keep(materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes"))
+        with scratch_scope(spark) as keep_links:
+            links, degrees = _Join(docs, classes, _levels(info), k, num, den).run(keep_links)
         roots = label_nodes(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("root"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-        some = materialize(classes.select("cls", "class_id").join(roots, "cls").join(degree, "cls", "left"), "linked")
+        some = materialize(classes.select("cls", "class_id").join(roots, "cls").join(degrees.groupBy("cls").agg(F.sum("n_links").alias("n_links")), "cls", "left"), "linked")
         tops = some.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        joined = some.join(tops, "root").select("cls", "component_id", "n_links")
-        whole = classes.join(joined, "cls", "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
-    out = info.join(whole.select("h1", "h2", "class_id", "component_id", "n_links"), ["h1", "h2"], "left")
-    empty = F.col("n") == 0
-    out = out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
-    return out if every else out.drop("n_links")
-
-
-def _in_several(rows: DataFrame, column: str) -> DataFrame:
-    """The rows whose region (sig) holds more than one value of the column."""
-    region = W.partitionBy("sig")
-    spread = rows.withColumns({"lo": F.min(column).over(region), "hi": F.max(column).over(region)})
-    return spread.where("lo <> hi").drop("lo", "hi")
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``ids`` (key); only those that a bounded bitmap doubts are shuffled."""
-    may = maybe_in(F.col("doc_id"), ids)
-    return docs.where(~may).unionByName(docs.where(may).join(ids.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti"))
-
-
-def _join_regions(docs: DataFrame, classes: DataFrame, regions: DataFrame, k: int, num: int, den: int, every: bool) -> DataFrame | None:
-    """The verified links (a, b) between classes: every one, or enough to join every component."""
-    wanted = materialize(classes.join(regions.select("cls").distinct(), "cls").select("id", "h1", "h2", "cls"), "wanted")
-    if wanted.isEmpty():
-        return None
-    state = _Join(docs, wanted, k, num, den, every)
-    # d and i: the size of a member's difference from its region's last centre, and the shared element's place in it.
-    active = regions.select("sig", "cls", "n", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("i"))
-    for turn in range(MAX_TURNS):
-        active = state.open(active)
-        if active.isEmpty():
-            return state.links
-        if not every:
-            star = active.groupBy("sig").agg(F.min(F.struct("cls", "comp", "n", "d", "i")).alias("p"))
-            state.test(star.select("sig", "p.*"), active)
-            active = state.open(active)
-            if active.isEmpty():
-                return state.links
-        sized = active.withColumn("load", F.count(F.lit(1)).over(W.partitionBy("sig")))
-        most = F.when(F.col("d").isNull(), SMALL).otherwise(CENTRED)
-        small = sized.where(F.col("load") <= most).drop("load")
-        if not small.isEmpty():
-            state.test(small, small)
-        large = sized.where(F.col("load") > most).select("sig", "cls", "n")
-        if large.isEmpty():
-            return state.links
-        active = state.recentre(materialize(large, "large"), turn)
-    raise RuntimeError("regions did not settle")
+        whole = keep(materialize(classes.join(some.join(tops, "root").select("cls", "component_id", "n_links"), "cls").select("h1", "h2", "component_id", "n_links"), "whole"))
+    named = classes.select("h1", "h2", "class_id").join(whole, ["h1", "h2"], "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    out = sets.join(named, ["h1", "h2"], "left")
+    own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
 class _Join:
-    """Links found so far, the pairs tested, and (unless every link is wanted) the components that the links make."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, every: bool = False):
-        self.every = every
-        self.docs, self.classes, self.k, self.num, self.den = docs, classes, k, num, den
-        self.tested = self.links = self.components = self.sets = None
-        self.cells = materialize(self._read(classes).select("cls", "cells"), "cells")
-
-    def _read(self, classes: DataFrame) -> DataFrame:
-        """The sets of some classes, one row each, from the documents that stand for them."""
-        near = self.docs.where(F.col("doc_id").isNull() | maybe_in(F.col("doc_id"), classes.select(F.col("id").alias("key"))))
-        return near.mapInArrow(_members(self.k), "id long, h1 long, h2 long, cells binary, members binary").join(classes, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
-
-    def fetch(self, ids: DataFrame) -> None:
-        """Have the whole sets of these classes (key) at hand; documents are read only for new ones."""
-        need = self.classes.join(ids.select(F.col("key").alias("cls")), "cls", "left_semi")
-        if self.sets is not None:
-            need = need.join(self.sets.select("cls"), "cls", "left_anti")
-        need = materialize(need, "need")
-        if not need.isEmpty():
-            more = materialize(self._read(need).select("cls", "members"), "members")
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
-
-    def open(self, active: DataFrame) -> DataFrame:
-        """The regions that hold more than one component, with each member's component."""
-        rows = active.drop("comp")
-        rows = rows if self.components is None else rows.join(self.components, "cls", "left")
-        rows = rows.withColumn("comp", F.col("cls") if self.components is None else F.coalesce("comp", "cls"))
-        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return materialize(rows.join(mixed, "sig", "left_semi"), "open")
-
-    def _slack(self, n: str = "n", d: str = "d") -> Column:
-        return (self.den - self.num) * F.col(n) - (self.den + self.num) * F.col(d)
-
-    def test(self, pivots: DataFrame, members: DataFrame) -> None:
-        """Measure members against the pivots of their region, unless links or windows settle the pair."""
-        p = pivots.select("sig", *[F.col(c).alias(f"p_{c}") for c in ("cls", "comp", "n", "d", "i")])
-        size = F.greatest("n", "p_n") * self.num <= F.least("n", "p_n") * self.den
-        most = (self.den - self.num) * (F.col("n") + F.col("p_n"))  # (den + num) times the distance may be that
-        window = F.abs(F.col("d") - F.col("p_d")) * (self.den + self.num) <= most
-        share = 2 * (self.den + self.num) * F.least(F.col("d") - F.col("i"), F.col("p_d") - F.col("p_i")) >= -(self._slack() + self._slack("p_n", "p_d"))
-        near = (F.col("comp") != F.col("p_comp")) & size & F.coalesce(window & share, F.lit(True))
-        pairs = p.join(members, "sig").where(near).select(F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b"), (F.col("n") + F.col("p_n")).alias("size")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        done = pairs.select("a", "b")
-        self.tested = done if self.tested is None else self.tested.unionByName(done)
-        hopeful = self._with(pairs, self.cells, "cells").mapInArrow(_bound(self.num, self.den), "a long, b long")
-        hopeful = materialize(hopeful.distinct(), "hopeful")
-        # Whole sets are shuffled only for the classes of pairs that the bound leaves.
-        ids = hopeful.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        if hopeful.isEmpty():
-            return
-        self.fetch(ids)
-        sets = self.sets.where(maybe_in(F.col("cls"), ids))
-        measured = self._with(hopeful.withColumn("size", F.lit(0)), sets, "members").drop("size").mapInArrow(_measure, "a long, b long, common long, union long")
-        measured = materialize(measured.distinct(), "measured")
-        self._add(measured.where(F.col("common") * self.den >= F.col("union") * self.num).select("a", "b"))
-        free_shuffles(members.sparkSession)
+    """The links between classes: enough to join every component, and the number of each class's links."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, packed: bytes, k: int, num: int, den: int):
+        self.docs, self.classes, self.packed, self.k, self.num, self.den = docs, classes, packed, k, num, den
+
+    def regions(self) -> DataFrame:
+        """(sig, cls, n, i): the classes whose prefix shares element sig with another, and its place there."""
+        emit = lambda whole: self.docs.mapInArrow(_emit(self.k, self.num, self.den, self.packed, whole), "sig long, h1 long" + ", h2 long, n long, i long" * whole)
+        # Least and greatest are partial aggregates, so no task holds the rows of a common element.
+        shared = emit(False).groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("sig")
+        shared = materialize(shared, "shared")
+        again = emit(True).where(maybe_in(F.col("sig"), shared.withColumnRenamed("sig", "key"))).distinct()
+        rows = again.join(shared, "sig", "left_semi").join(self.classes.select("h1", "h2", "cls"), ["h1", "h2"])
+        out = materialize(rows.select("sig", "cls", "n", "i"), "regions")
+        free_shuffles(self.docs.sparkSession)
+        return out
+
+    def pairs(self, small: DataFrame) -> DataFrame:
+        """(a, b, size): pairs of small regions that pass the size and positional filters."""
+        x, y = (small.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "i")]) for s in "ab")
+        size = F.greatest("n_a", "n_b") * self.num <= F.least("n_a", "n_b") * self.den
+        rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num
+        met = x.join(y, "sig").where((F.col("cls_a") < F.col("cls_b")) & size & rest)
+        return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("size")).distinct()
+
+    def fetch(self, wanted: DataFrame, whole: bool) -> DataFrame:
+        """(cls, members) of the classes in ``wanted.cls``, read from the documents that stand for them."""
+        names = self.classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("h1", "h2", "cls", "class_id")
+        names = materialize(names, "names")
+        near = self.docs.where(F.col("doc_id").isNull() | maybe_in(F.col("doc_id"), names.select(F.col("class_id").alias("key")).where("key is not null")))
+        found = near.mapInArrow(_members(self.k, whole), "h1 long, h2 long, members binary").join(names.drop("class_id"), ["h1", "h2"])
+        return materialize(found.dropDuplicates(["h1", "h2"]).select("cls", "members"), "members")
+
+    def linked(self, d: Column, size: Column) -> Column:
+        return (self.den + self.num) * d <= (self.den - self.num) * size
 
     @staticmethod
-    def _with(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, size, what the table holds for a, the same for b)."""
-        side = lambda c: sets.select(F.col("cls").alias(c), F.col(column).alias(f"_{c}"))
+        side = lambda c: sets.select(F.col("cls").alias(c), F.col("members").alias(f"_{c}"))
         return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size", "_a", "_b")
 
-    def _add(self, fresh: DataFrame) -> None:
-        self.links = fresh if self.links is None else self.links.unionByName(fresh)
-        if self.every:
-            return
-        self.components = materialize(label_nodes(self.links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")), "components")
-
-    def recentre(self, large: DataFrame, turn: int) -> DataFrame:
-        """The regions of the next turn: members that share a rare element of their differences."""
-        if turn == 0:  # one group of copies fills many regions, so those that overlap are taken together
-            first = large.groupBy("sig").agg(F.min("cls").alias("low"))
-            edges = large.join(first, "sig").select("low", "cls").distinct()
-            labels = label_nodes(edges, "low", "cls").select(F.col("node").alias("cls"), F.xxhash64("component").alias("cluster"))
-            whole = large.select("cls", "n").distinct().join(labels, "cls").select("cluster", "cls", "n")
-        else:
-            whole = large.select(F.col("sig").alias("cluster"), "cls", "n")
-        whole = materialize(whole, "cluster")
-        self.fetch(whole.select(F.col("cls").alias("key")).distinct())
-        held = whole.join(self.sets, "cls").select("cluster", "cls", "n", "members")
-        sizes = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        counts = held.select("cluster", "members").mapInArrow(_tally, "cluster long, e long, n long").groupBy("cluster", "e").agg(F.sum("n").alias("n"))
-        centre = counts.join(sizes, "cluster").where("2 * n > size").groupBy("cluster").agg(F.collect_list("e").alias("centre"))
-        apart = held.join(centre, "cluster", "left").select("cluster", "cls", "n", "members", "centre")
-        apart = materialize(apart.mapInArrow(_differences, "cluster long, cls long, n long, d long, e long"), "differences")
-        # The member with most slack is linked to every one that is linked through the centre.
-        own = apart.select("cluster", "cls", "n", "d").distinct().withColumn("slack", self._slack())
-        best = materialize(own.groupBy("cluster").agg(F.max(F.struct("slack", "cls")).alias("top")).select("cluster", F.col("top.slack").alias("top"), F.col("top.cls").alias("top_cls")), "tops")
-        sure = own.join(best, "cluster").where("slack + top >= 0")
-        if self.every:
-            x, y = (sure.select("cluster", F.col("cls").alias(c), F.col("slack").alias(f"{c}_slack")) for c in "ab")
-            pairs = x.join(y, "cluster").where("a < b and a_slack + b_slack >= 0").select("a", "b").distinct()
-            if self.tested is not None:
-                pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "sure")
-            self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        else:
-            pairs = materialize(sure.where("cls <> top_cls").select(F.least("cls", "top_cls").alias("a"), F.greatest("cls", "top_cls").alias("b")), "sure")
-        self._add(pairs)
-        # A link that isn't sure shares at least ``need`` elements; the rarest of them is in both prefixes.
-        step = 2 * (self.den + self.num)
-        spread = W.partitionBy("cluster", "e")
-        rare = apart.where("e is not null").withColumn("freq", F.count(F.lit(1)).over(spread)).withColumn("slack", self._slack()).join(best, "cluster")
-        need = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / step))
-        ranked = rare.withColumn("i", F.row_number().over(W.partitionBy("cluster", "cls").orderBy("freq", "e")).cast("long") - 1).where((F.col("i") <= F.col("d") - need) & (F.col("freq") > 1))
-        fresh = ranked.select(F.xxhash64("cluster", "e", F.lit(turn)).alias("sig"), "cls", "n", "d", "i")
-        return materialize(fresh, "regions")
+    def apart(self, pairs: DataFrame, counts: DataFrame) -> DataFrame:
+        return self.beside(pairs, counts).mapInArrow(_apart, "a long, b long, size long, d long")
+
+    def run(self, keep) -> tuple[DataFrame, DataFrame]:
+        """((a, b) links that join all components, (cls, n_links) to be summed)."""
+        regions = self.regions()
+        loads = materialize(regions.groupBy("sig").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > SMALL).select("sig"), "loads")
+        large = materialize(regions.join(loads, "sig", "left_semi").select("sig", "cls", "n", "i"), "large")
+        pairs = materialize(self.pairs(regions.join(loads, "sig", "left_anti")), "pairs")
+        counts = self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(large.select("cls")), False)
+        free_shuffles(self.docs.sparkSession)
+        alive = None
+        if not large.isEmpty():
+            home, visits, members = self.cells(large, counts)
+            alive = self.alive(members.join(counts.withColumnRenamed("members", "diff"), "cls"))
+            cell = lambda c: home.select(F.col("cls").alias(c), F.col("cell").alias(f"cell_{c}"))
+            known = visits.select(F.col("cls").alias("v"), F.col("cell").alias("c"))
+            placed = pairs.join(cell("a"), "a", "left").join(cell("b"), "b", "left")
+            placed = placed.where(~F.coalesce(F.col("cell_a") == F.col("cell_b"), F.lit(False)))
+            guest = placed.withColumns({"v": F.when(F.col("cell_a") < F.col("cell_b"), F.col("b")).otherwise(F.col("a")), "c": F.least("cell_a", "cell_b")})
+            pairs = guest.join(known, ["v", "c"], "left_anti").select("a", "b", "size")
+        hopeful = materialize(self.apart(pairs, counts).where(self.linked(F.col("d"), F.col("size"))).select("a", "b", "size"), "hopeful")
+        wanted = hopeful.select(F.explode(F.array("a", "b")).alias("cls"))
+        if alive is not None:
+            wanted = wanted.unionByName(alive.select(F.explode(F.array("cls", "cell")).alias("cls")))
+        free_shuffles(self.docs.sparkSession)
+        sets = self.fetch(wanted, True)
+        tested = self.beside(hopeful, sets).mapInArrow(_distance, "a long, b long, size long, d long")
+        links = keep(materialize(tested.where(self.linked(F.col("d"), F.col("size"))).select("a", "b"), "near"))
+        degrees = links.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("n_links"))
+        if alive is not None:
+            measured = self.beside(alive.select(F.col("cls").alias("a"), F.col("cell").alias("b"), F.lit(0).alias("size")), sets).mapInArrow(_measure, "cls long, cell long, d long, diff binary")
+            found, more = self.rings(measured.join(alive, ["cls", "cell"]))
+            links, degrees = links.unionByName(keep(found)), degrees.unionByName(keep(more))
+        return links, degrees
+
+    def cells(self, large: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Voronoi cells of the large regions' members, in the metric of ``counts``.
+
+        (cls, cell) of each; (cls, cell) of those that met members of a cell of a lesser
+        pivot; and (cell, cls, n, d, home) of the members and of the visitors that the
+        triangle inequality lets in.
+        """
+        sizes = materialize(large.select("cls", "n").distinct(), "sizes")
+        of = lambda c: sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"))
+        sized = lambda x: x.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size"))
+        leaders = large.groupBy("sig").agg(F.min("cls").alias("b"))
+        met = large.join(leaders, "sig").groupBy(F.col("cls").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
+        met = met.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), "b"))).where(F.col("rank") <= LEADERS)
+        seen = materialize(self.apart(sized(met.select("a", "b")), counts), "seen")
+        # A leader that may lie within the radius of a lesser one yields to it.
+        yields = seen.where((F.col("b") < F.col("a")) & self.linked(F.col("d"), F.col("size"))).select("a").distinct().join(seen.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        ranked = seen.join(yields.select(F.col("a").alias("b"), F.lit(1).alias("yields")), "b", "left")
+        order = F.struct(F.coalesce("yields", F.lit(0)).alias("yields"), (F.col("d") / F.col("size")).alias("share"), "b", "d")
+        best = ranked.groupBy(F.col("a").alias("cls")).agg(F.min(order).alias("best"))
+        home = materialize(best.select("cls", F.col("best.b").alias("cell"), F.col("best.d").alias("d")).join(sizes, "cls"), "home")
+        homes = large.join(home.select("cls", "cell"), "cls").select("sig", "cls", "cell", "n", (F.col("n") - F.col("i")).alias("rest"))
+        there = homes.groupBy("sig", F.col("cell").alias("into")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"))
+        # The size and positional filters, as far as they hold for every member of a cell together.
+        least = F.greatest(F.col("low") * self.den, F.col("n") * self.num) + F.col("n") * self.den
+        fits = (F.col("high") * self.den >= F.col("n") * self.num) & (F.col("low") * self.num <= F.col("n") * self.den)
+        fits &= (F.col("rest") * self.den * (self.num + self.den) >= least * self.num) & (F.col("room") * (self.num + self.den) >= (F.col("low") + F.col("n")) * self.num)
+        visits = materialize(homes.join(there, "sig").where((F.col("into") < F.col("cell")) & fits).select("cls", F.col("into").alias("cell")).distinct(), "visits")
+        reach = home.groupBy("cell").agg(F.max("d").alias("most"), F.max("n").alias("largest"))
+        guests = self.apart(sized(visits.select(F.col("cls").alias("a"), F.col("cell").alias("b"))), counts).select(F.col("a").alias("cls"), F.col("b").alias("cell"), "d")
+        guests = guests.join(sizes, "cls").join(reach, "cell")
+        partner = F.least("largest", F.floor(F.col("n") * self.den / self.num))
+        guests = guests.where(self.linked(F.col("d") - F.col("most"), F.col("n") + partner))
+        members = home.withColumn("home", F.lit(True)).unionByName(guests.select("cls", "cell", "d", "n", F.lit(False).alias("home")))
+        return home, visits, materialize(members, "cell-members")
+
+    def blocks(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` (cell, cls, n, d, diff, home) with their block, and the pairs of blocks that may hold links."""
+        weight = 1 + F.col("d") / 1024
+        bands = rows.groupBy("cell", "d").agg(F.sum(weight).alias("load"))
+        upto = W.partitionBy("cell").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow)  # over distinct distances, not members
+        bands = bands.withColumn("from", F.sum("load").over(upto) - F.col("load"))
+        spot = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / (1 << 20)
+        blocked = rows.join(bands, ["cell", "d"]).withColumn("block", F.floor((F.col("from") + spot * F.col("load")) / BLOCK).cast("long")).drop("from", "load")
+        blocked = materialize(blocked, "blocks")
+        slack = (self.den - self.num) * F.col("n") - (self.den + self.num) * F.col("d")
+        about = blocked.groupBy("cell", "block").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.col("home").cast("long")).alias("homes"), F.min("d").alias("near"), F.max("d").alias("far"),
+            F.max("n").alias("largest"), F.min(slack).alias("slack"), F.min("cls").alias("head"))
+        about = materialize(about, "about")
+        x, y = (about.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in about.columns if c != "cell"]) for s in "ij")
+        duos = x.join(y, "cell").where((F.col("block_i") <= F.col("block_j")) & (F.col("homes_i") + F.col("homes_j") > 0))
+        duos = duos.where(self.linked(F.greatest(F.col("near_j") - F.col("far_i"), F.lit(0)), F.col("largest_i") + F.col("largest_j")))
+        return blocked, materialize(duos, "duos")
+
+    @staticmethod
+    def facing(blocked: DataFrame, duos: DataFrame):
+        """The rows of both blocks of each pair (cell, i, j), grouped."""
+        keys = lambda own, right: duos.select("cell", F.col(own).alias("block"), F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.lit(right).alias("right"))
+        rows = blocked.join(keys("block_i", False), ["cell", "block"]).unionByName(blocked.join(keys("block_j", True).where("i < j"), ["cell", "block"]))
+        return rows.select("cell", "i", "j", "cls", "n", "d", "home", "right", "diff").groupBy("cell", "i", "j")
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """(cell, cls, n, home) of the members and visitors that may have a partner in the cell."""
+        blocked, duos = self.blocks(rows)
+        found = self.facing(blocked, duos).applyInArrow(_hopeful_blocks(self.num, self.den), "cell long, cls long").distinct()
+        return materialize(blocked.select("cell", "cls", "n", "home").join(found, ["cell", "cls"], "left_semi"), "alive")
+
+    def rings(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((a, b) links that join what is linked in cells, (cls, n_links) to be summed)."""
+        blocked, duos = self.blocks(rows)
+        sure = duos.where("slack_i + slack_j >= 0")
+        # Blocks that link as wholes: members gain the other block's members, and join its head.
+        one = sure.select("cell", F.col("block_i").alias("block"), F.col("rows_j").alias("rows"), F.col("homes_j").alias("homes"), F.col("head_j").alias("head"), (F.col("block_i") == F.col("block_j")).alias("twins"))
+        two = sure.where("block_i < block_j").select("cell", F.col("block_j").alias("block"), F.col("rows_i").alias("rows"), F.col("homes_i").alias("homes"), F.col("head_i").alias("head"), F.lit(False).alias("twins"))
+        gains = one.unionByName(two).groupBy("cell", "block").agg(F.sum("rows").alias("rows"), F.sum("homes").alias("homes"), F.min("head").alias("head"), F.max("twins").alias("twins"))
+        counted = blocked.select("cell", "block", "cls", "home").join(gains, ["cell", "block"])
+        own = F.when(F.col("home"), F.col("rows") - F.col("twins").cast("long")).otherwise(F.col("homes"))
+        counted = counted.select("cls", own.alias("n_links"), F.col("head").alias("root"))
+        joined = sure.select(F.col("head_i").alias("a"), F.col("head_j").alias("b"))
+        tested = self.facing(blocked, duos.where("slack_i + slack_j < 0")).applyInArrow(_test_blocks(self.num, self.den), "cls long, n_links long, root long")
+        found = materialize(counted.unionByName(tested), "counted")
+        counts = materialize(found.groupBy("cls").agg(F.sum("n_links").alias("n_links")), "degrees")
+        links = found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(joined)
+        return materialize(links.distinct(), "links"), counts
 
 
 def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -453,12 +503,16 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
     rows with a null id stay, since no id can stand for their group.  Only rows whose id
     may be dropped are shuffled: a bounded bitmap lets the others through first.
     """
-    found = jaccard_components(df, k, num, den, id_col, text, every=False)
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    odd = materialize(ids.where("low < doc_id or rows > 1").select(F.col("doc_id").alias("key"), (F.col("low") < F.col("doc_id")).alias("dropped")), "dropped")
+    with scratch_scope(df.sparkSession) as keep:
+        found = jaccard_components(df, k, num, den, id_col, text)
+        ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+        odd = keep(materialize(ids.where("low < doc_id or rows > 1").select(F.col("doc_id").alias("key"), (F.col("low") < F.col("doc_id")).alias("dropped")), "dropped"))
     may = maybe_in(F.col(id_col).cast("long"), odd)
-    part, dropped = df.where(may), odd.where("dropped")
-    rest = part.join(dropped, part[id_col].cast("long") == dropped["key"], "left_anti").dropDuplicates()
+    dropped = odd.where("dropped")
+    part = df.where(may)
+    rest = part.join(dropped, part[id_col].cast("long") == dropped["key"], "left_anti")
+    # Rows are compared as JSON, since columns may hold maps.
+    rest = rest.select(F.struct("*").alias("row"), F.to_json(F.struct("*")).alias("said")).dropDuplicates(["said"]).select("row.*")
     return df.where(~may).unionByName(rest)
 
 

@@ -1,12 +1,14 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import jaccard
-from loomgraph.llm.wordhash import distinct, mix
+from loomgraph.llm.wordhash import distinct, mix, shingles, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,19 +67,23 @@ def corpus(seed=3):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
-@pytest.mark.parametrize("small", [4, 32])
-def test_components_match_brute_force(spark, monkeypatch, k, num, den, small):
+@pytest.mark.parametrize("k,num,small,block", [(3, 90, 4, 20), (5, 80, 2, 8), (5, 80, 64, 512)])
+def test_components_and_links_match_brute_force(spark, monkeypatch, k, num, small, block):
+    """Limits so small that regions become cells, and cells many blocks; and those of production."""
     monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "CENTRED", 2 * small)
-    rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = jaccard.jaccard_components(df, k, num, den).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == brute(rows, k, num, den)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(7)
+    sets = [(i, shingle_set(t, k)) for i, t in rows]
+    kinds = {s: min(i for i, x in sets if x == s) for _, s in sets if s}
+    links = {s: sum(x != s and 100 * len(s & x) >= num * len(s | x) for x in kinds) for s in kinds}
+    want = [(i, n, kinds.get(s, i), c, links.get(s, 0)) for (i, n, c), (_, s) in zip(brute(rows, k, num, 100), sorted(sets))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, num, 100)
+    assert sorted(map(tuple, got.collect())) == want
 
 
-def test_linked_sets_share_a_signature():
+def test_linked_sets_share_a_prefix_element():
     rng = np.random.default_rng(5)
+    levels = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
     for num, den in ((90, 100), (80, 100)):
         for n in (1, 2, 5, 9, 10, 19, 20, 50, 95, 141, 400, 1500):
             s = distinct(mix(rng.integers(0, 1 << 62, n).astype(np.uint64)))
@@ -87,7 +93,24 @@ def test_linked_sets_share_a_signature():
                 t = distinct(np.concatenate((keep, extra)))
                 common = len(np.intersect1d(s, t))
                 if len(t) and den * common >= num * (len(s) + len(t) - common):
-                    assert np.intersect1d(jaccard.signatures(s, num, den), jaccard.signatures(t, num, den)).size
+                    assert np.intersect1d(jaccard.prefix(s, num, den, levels), jaccard.prefix(t, num, den, levels)).size
+
+
+def test_overlaps_of_rows():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 400, rng.integers(0, 120))).astype(np.uint64) for _ in range(70)]
+    want = [[0 if i == j else len(np.intersect1d(x, y)) for j, y in enumerate(rows)] for i, x in enumerate(rows)]
+    assert (jaccard.overlaps(rows) == np.array(want)).all()
+
+
+def test_common_elements_come_last(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(200)]
+    info = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(jaccard._info(3), "doc_id long, n long, h1 long, h2 long, part int, counts binary")
+    levels = np.frombuffer(zlib.decompress(jaccard._levels(info)), np.uint8)
+    common = distinct(shingles(next(words(pa.array([passage])))[1], 3))
+    assert (levels[jaccard._counter(common)] > 0).all() and np.count_nonzero(levels) <= len(common)
 
 
 def test_empty_null_ids_and_extra_columns(spark):
@@ -102,23 +125,18 @@ def test_empty_null_ids_and_extra_columns(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, "a b c d", 1), (None, "a b c d", 2), (4, "a b c d", 3), (5, "x y z", 4)], key=str)
 
 
-def test_one_of_each_with_clashing_names(spark):
-    rows = [(3, "a b c d e f g", 1, "x", 2.0), (1, "a b c d e f g", 2, "y", 2.0), (2, "other words", 3, "z", 2.0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, key int, dropped string, component_id double")
-    kept = jaccard.one_of_each(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
-
-
 def test_one_of_each_keeps_the_least_id(spark):
-    rows = corpus(9)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {i for i, _, c in brute(rows, 5, 80, 100) if i == c}
-    assert {r["doc_id"] for r in jaccard.one_of_each(df).collect()} == want
+    """With clashing names and a column of maps; equal rows become one."""
+    rows = [(i, t, i, "x", 2.0, {"a": 1}) for i, t in corpus(9)]
+    df = spark.createDataFrame(rows + rows[:9], "doc_id long, text string, key int, dropped string, component_id double, m map<string, int>")
+    kept = jaccard.one_of_each(df)
+    want = sorted(i for i, _, c in brute([r[:2] for r in rows], 5, 80, 100) if i == c)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == want
 
 
 def test_repeated_rows_and_shared_ids(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 4)
-    monkeypatch.setattr(jaccard, "CENTRED", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
     rows = corpus(4)
     rows = [(None, t) if i % 9 == 0 else (i, t) for i, t in rows for _ in range(2)]
     twin = " ".join(f"t{i}" for i in range(90))
@@ -131,25 +149,19 @@ def test_repeated_rows_and_shared_ids(spark, monkeypatch):
     assert [x for x in got if not empty(x)] == [x for x in brute(least, 3, 90, 100) if not empty(x)]
 
 
-def test_one_set_row_a_class(spark):
-    rows = [(i, t) for i, t in corpus(5)] * 2 + [(None, "a b c d e f"), (None, "a b c d e f")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    info = df.mapInArrow(jaccard._info(3), "doc_id long, n long, h1 long, h2 long").where("n > 0")
-    classes = info.selectExpr("coalesce(doc_id, h1) as id", "h1", "h2").groupBy("h1", "h2").agg({"id": "min"}).withColumnRenamed("min(id)", "id").selectExpr("id", "h1", "h2", "xxhash64(h1, h2) as cls")
-    state = jaccard._Join(df, classes, 3, 90, 100)
-    assert state.cells.count() == classes.count()
-    state.fetch(classes.selectExpr("cls as key"))
-    assert state.sets.count() == classes.count()
+def test_the_row_that_stands_for_a_class(spark):
+    """Null ids and ids with two texts lose no link, in one partition or many."""
+    base = [f"w{i}" for i in range(200)]
+    a, b, other = " ".join(base), " ".join(base[:-1]), "quite another text of seven words"
+    for rows, want in (([(None, a), (4, a), (9, b)], {(4, 4), (9, 4)}), ([(7, a), (7, other), (3, a), (9, b)], {(7, 3), (7, 7), (3, 3), (9, 3)})):
+        for parts in (1, 2):
+            got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 3, 90, 100)
+            assert {(r["doc_id"], r["component_id"]) for r in got.where("doc_id is not null").collect()} == want
 
 
-@pytest.mark.parametrize("small", [4, 32])
-def test_every_link_is_counted(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "CENTRED", 2 * small)
-    rows = corpus(7)
-    sets = [(i, shingle_set(t, 3)) for i, t in rows]
-    kinds = {s: min(i for i, x in sets if x == s) for _, s in sets if s}
-    links = {s: sum(x != s and 100 * len(s & x) >= 90 * len(s | x) for x in kinds) for s in kinds}
-    want = sorted((i, kinds.get(s, i), links.get(s, 0)) for i, s in sets)
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90, 100)
-    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == want
+def test_very_long_text(spark):
+    rng = random.Random(6)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-500])), (3, " ".join(w[:1000]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
