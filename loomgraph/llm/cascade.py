@@ -4,13 +4,14 @@ Level 1 encodes the listed keys.  Testing it over every key that the corpus hold
 its false positives, which level 2 encodes; the listed keys that level 2 wrongly passes
 go into level 3, and so on until a level has no false positives.  A key of the universe
 is listed exactly if the first level that turns it away is an even one (or if it passes
-all of an odd number of levels).  Membership of a page is then a projection over its
+all of an odd number of levels).  Keys are hosts; a listed domain lists those hosts of the
+universe that are it or lie under it.  Membership of a page is then a projection over its
 host: the levels are arrays of bits that reach the executors as scalar subqueries'
 values, and no page takes part in a join.
 
-The bits of all levels together grow with the list (about 10 bits a listed key), not
-with the corpus; ``MAX_BITS`` bounds a level.  A list with more keys than fit raises the
-false-positive rate of the level, which makes the cascade deeper, never wrong.
+A level has about 10 bits a key and at most ``MAX_BITS``.  Keys that need more are dealt
+by hash to as many cascades as keep every level within that bound, and the pages of one
+after the other are judged by it, so the answer is exact for a list of any size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from loomgraph.plans.store import discard, materialize
 BITS_A_KEY = 10
 PROBES = 4
 MAX_BITS = 1 << 26  # 8 MB a level, the proven bound of what is sent to each task
-MAX_LEVELS = 64
 
 #: Fixed values, as (rule, verdict); the part before the first slash is the host.
 RULES = (
@@ -36,8 +36,12 @@ RULES = (
     ("org/es/", "block"),
 )
 
-#: A host is on the list when one of its labels names advertising or tracking.
-LISTED_LABEL = r"(^|[.-])(ads?|adserver|banners?|casino|click|doubleclick|pixel|popup|sponsor|telemetry|track|tracker|tracking)([.-]|$)"
+#: The listed domains, each with all its subdomains.
+LISTED = (
+    "2mdn.net", "adnxs.com", "ads-track.example.com", "adult-x.example.net", "amazon-adsystem.com", "casino-win.example.com", "cheap-pills.example.com", "criteo.com",
+    "doubleclick.net", "free-bets.example.com", "googlesyndication.com", "moatads.com", "outbrain.com", "popads.net", "pubmatic.com", "rubiconproject.com",
+    "scorecardresearch.com", "spam-farm.example.com", "taboola.com", "zedo.com",
+)
 
 
 def url_host(url: Column) -> Column:
@@ -106,55 +110,81 @@ class Cascade:
         return F.coalesce(key.isNotNull() & out, F.lit(False))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """``universe`` and ``listed`` have a column ``key``; listed keys outside the universe are harmless.
+def part_of(key: Column, parts: int) -> Column:
+    """The cascade that a key belongs to."""
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+
 
+def build_cascades(universe: DataFrame, listed: DataFrame) -> list[Cascade]:
+    """The cascades of the parts of the keys, in order; one unless the keys are many.
+
+    ``universe`` and ``listed`` have a column ``key``; listed keys outside the universe are harmless.
     Nulls and repeated keys are dropped first; an empty list gives a cascade that holds nothing.
     """
     # One row a key, with its side; this table is as large as the set of keys, not of pages.
     sides = universe.select("key", F.lit(False).alias("listed")).unionByName(listed.select("key", F.lit(True).alias("listed")))
     table = materialize(sides.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "keys")
-    out = Cascade()
-    side, alive = True, table
-    for level in range(1, MAX_LEVELS + 1):
-        inside = alive.where(F.col("listed") == side)
-        n = inside.count()
-        if n == 0:
-            break
-        out.add(*_filter_of(inside, level, n))
-        # The side just encoded goes on to be tested by the next level, with the others that passed.
-        alive = alive.where((F.col("listed") == side) | out.level(F.col("key"), level))
-        side = not side
-    else:
-        raise RuntimeError("the cascade did not close")
+    parts = 1
+    while (out := _build(table, parts)) is None:
+        parts *= 2
     discard(table)
     return out
 
 
+def _build(table: DataFrame, parts: int) -> list[Cascade] | None:
+    """A cascade for each part, or None if a level would need more than MAX_BITS."""
+    out = []
+    for part in range(parts):
+        cascade, side, alive = Cascade(), True, table.where(part_of(F.col("key"), parts) == part)
+        while n := (inside := alive.where(F.col("listed") == side)).count():
+            if BITS_A_KEY * n > MAX_BITS:
+                return None
+            cascade.add(*_filter_of(inside, len(cascade.levels) + 1, n))
+            # The side just encoded goes on to be tested by the next level, with the others that passed.
+            alive = alive.where((F.col("listed") == side) | cascade.level(F.col("key"), len(cascade.levels)))
+            side = not side
+        out.append(cascade)
+    return out
+
+
+def domains_of(host: Column) -> Column:
+    """The host and its parent domains, each once; an empty host has none."""
+    labels = F.split(host, r"\.")
+    whole = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.array_distinct(F.filter(F.coalesce(whole, F.array().cast("array<string>")), lambda d: d != ""))
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """Add host, path, rule and verdict to every row of ``pages``.
+    """Add host, path, rule and verdict to every row of ``pages``; columns of these names are replaced.
 
     Hosts of the list (``listed.key``) and their subdomains are blocked unless a rule says
     otherwise.  A null or malformed url has empty host and path, fits no rule, and is allowed.
+    Repeated rows get equal verdicts; an empty table gives an empty result.
     """
-    base = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    universe = base.where("rule is null and host <> ''").select(F.col("host").alias("key"))
-    cascade = build_cascade(universe, listed)
+    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    base = pages.select(*columns, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    hosts = materialize(base.where("rule is null and host <> ''").select(F.col("host").alias("key")).distinct(), "hosts")
+    under = hosts.withColumn("domain", F.explode(domains_of(F.col("key")))).join(listed.select(F.col("key").alias("domain")), "domain", "left_semi")
+    cascades = build_cascades(hosts, under.select("key"))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules:
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
-    blocked = F.col("rule").isNull() & cascade.holds(F.col("host"))
-    return base.withColumn("verdict", F.coalesce(by_rule, F.when(blocked, "block").otherwise("allow")))
+    out = []
+    for part, cascade in enumerate(cascades):
+        blocked = F.col("rule").isNull() & cascade.holds(F.col("host"))
+        own = base.withColumn("verdict", F.coalesce(by_rule, F.when(blocked, "block").otherwise("allow")))
+        out.append(own if len(cascades) == 1 else materialize(own.where(part_of(F.col("host"), len(cascades)) == part), "judged"))
+    return reduce(DataFrame.unionByName, out).select(*columns, "host", "path", "rule", "verdict")
 
 
-def listed_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """The hosts of the corpus that the list names: those with an advertising or tracking label."""
-    return pages.select(url_host(F.col(url)).alias("key")).where(F.col("key").rlike(LISTED_LABEL)).distinct()
+def listed_domains(spark: SparkSession) -> DataFrame:
+    """The stated list (key)."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge_urls(pages, listed_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, listed_domains(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _sql() -> str:
@@ -162,6 +192,7 @@ def _sql() -> str:
     for rule, _ in sorted(RULES, key=lambda r: -len(r[0])):
         h, slash, p = rule.partition("/")
         cases.append(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{slash + p}') THEN '{rule}'")
+    listed = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED)
     verdicts = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES)
     at = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)"
     host = f"coalesce(translate({at}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -170,7 +201,7 @@ def _sql() -> str:
         f"WITH a AS (SELECT page_id, {host} AS host, {path} AS path FROM pages), "
         f"b AS (SELECT *, CASE {' '.join(cases)} END AS rule FROM a) "
         f"SELECT page_id, host, path, rule, CASE {verdicts} "
-        f"WHEN regexp_matches(host, '{LISTED_LABEL}') THEN 'block' ELSE 'allow' END AS verdict FROM b"
+        f"WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM b"
     )
 
 
