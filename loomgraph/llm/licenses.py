@@ -46,6 +46,15 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty"),
 )
 
 
@@ -98,7 +107,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text: str = "text", tem
     places = F.lit(" (?=(?:" + "|".join(p for p, _ in phrases) + ") )")
     any_prefix = " (?:" + "|".join(sorted({w for _, w, _ in prefix}, key=rank.get)) + ") "
     ordered = F.array(*map(F.lit, order))
-    in_block = lambda b: F.filter(ordered, lambda w: F.array_contains(F.split(folded(b), " "), w))
+    in_block = lambda b: F.array_intersect(ordered, F.split(folded(b), " "))  # noqa: E731  keeps the first one's order
     hopeful = F.filter(blocks_of(F.col("_text")), lambda b: folded(b).rlike(any_prefix))
     blocks = F.filter(F.transform(hopeful, in_block), lambda b: F.size(b) >= min(need))
     pieces = F.split(F.col("_norm"), " (?=(?:" + "|".join(p for p, _ in phrases) + ") )")
