@@ -5,13 +5,15 @@ as the assistant, all others as named users, system turns as system, and a mask
 characters that the assistant says.
 
 A conversation is cut into parts of ``SPAN`` consecutive turn numbers, so one with a third
-of all rows is spread over many groups and no group grows with the table; a part with too
-many rows of equal turn numbers is dealt out further.  A participant's dialogue is its parts
+of all rows is spread over many groups; a part with too many rows of equal turn numbers is
+dealt out further.  Only the parts' numbers and sizes of a conversation meet in one task.  A participant's dialogue is its parts
 in order (nearly always one), each with the offset of its first message.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,11 +57,16 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
         ranges = dealt.where(F.col("load") > MOST).select(*cols).repartitionByRange(-(-hot // MOST), "conv_id", "span", "turn", "speaker", "text")
         ranges = ranges.withColumns({"step": F.col("turn"), "deal": F.spark_partition_id().cast("long")})
         pieces = pieces.unionByName(materialize(ranges, "ranges"))
-    parts = pieces.groupBy("conv_id", "span", "step", "deal").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "copies"))).alias("m"), F.sum("copies").alias("n"))
+    place = ["conv_id", "span", "step", "deal"]
+    parts = pieces.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text", "copies"))).alias("m"), F.sum("copies").alias("n"))
+    parts = materialize(parts, "parts")
+    # Parts are numbered and paired with participants by their keys alone; texts join last, part by part.
     order = W.partitionBy("conv_id").orderBy("span", "step", "deal")
-    placed = parts.withColumn("part", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
-    who = rows.where("speaker <> 'system'").select(F.col("conv_id").alias("c"), F.col("speaker").alias("participant")).distinct()
-    both = placed.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    placed = parts.select(*place, "n").withColumn("part", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n"))
+    who = turns.select(F.col(conv).alias("c"), speaker.alias("participant")).where("participant <> 'system'").distinct()
+    named = placed.drop("n").join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    same = reduce(lambda x, y: x & y, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in place])
+    both = named.alias("k").join(parts.alias("m"), same).select("k.*", "m.m")
     each = F.flatten(F.transform("m", lambda x: F.array_repeat(F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")), x["copies"].cast("int"))))
     said = both.withColumn("e", each)
     made = said.withColumn("heads", F.transform("e", lambda x: _head(x["speaker"], F.col("participant"))))

@@ -67,3 +67,19 @@ def test_hot_turn_keeps_the_order(spark, monkeypatch):
         assert r["offset"] == n
         got[r["conv_id"], r["participant"]] = (text + r["rendered"], n + r["n_messages"])
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in brute(many).items()}
+
+
+def test_no_task_gathers_the_texts_of_a_hot_conversation(spark):
+    """Windows and the join with participants see keys alone; texts join on all keys of a part."""
+    df = spark.createDataFrame([(1, t, ["user", "bob"][t % 2], f"x{t}") for t in range(900)], "conv_id long, turn long, role string, text string")
+    plan = chat.rotate_perspectives(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "Window" in x] and all("m#" not in x for x in plan.split("\n") if "Window" in x)
+    assert len({r["part"] for r in chat.rotate_perspectives(df).collect()}) == 4
+
+
+def test_very_long_text(spark):
+    long = "y" * 2_000_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+    got = {r["participant"]: r for r in chat.rotate_perspectives(df).collect()}
+    s = got["user"]["spans"][0]
+    assert got["user"]["rendered"][s["start"] : s["end"]] == long and got["assistant"]["n_trained"] == 1
