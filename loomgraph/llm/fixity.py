@@ -4,8 +4,9 @@ Records are ordered by position and grouped into leaves of ``LEAF`` positions; a
 hash covers the digests of its records in order, with their byte offsets in the archive
 file, and each node above covers ``FAN`` children.  Two replicas with equal roots are
 equal.  Otherwise the audit descends from the root, level by level, and joins only the
-children of nodes that differ, down to the records.  Each group is bounded by the span of
-positions that it covers, so no task grows with the archive.
+children of nodes that differ, down to the records.  A group covers a span of positions; a
+position with more than ``HOT`` distinct records is dealt out by its digests' first digits,
+for offsets as well as for the leaf, so no task grows with the archive.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from loomgraph.plans.store import materialize
 
 LEAF, FAN = 64, 16
 FILE = LEAF * FAN  # positions of an archive file
+HOT = 4096  # distinct records of a position that stay together
 SPREAD = 1 << 40  # records without a position are spread over so many positions below 0
 
 
@@ -37,18 +39,42 @@ def record_ledger(df: DataFrame, position: str, record: Column) -> DataFrame:
     return hashed.groupBy(F.coalesce("p", spread).alias("position"), "digest", "length").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _before(value: Column, partition: list[str], order: list[str]) -> Column:
+    """The sum of ``value`` over the rows before this one."""
+    return F.sum(value).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - value
+
+
 def with_offsets(ledger: DataFrame) -> DataFrame:
-    """Add the archive file and the byte offset at which each record starts in it."""
-    order = W.partitionBy("file").orderBy("position", "digest")
-    before = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length") * F.col("copies")
-    return ledger.withColumn("file", F.floor(F.col("position") / FILE).cast("long")).withColumn("offset", before)
+    """Add the archive file, the group (at, deal) within it, and the byte offset at which each record starts in the file.
+
+    A file is one group (-1, 0), unless a position in it is hot: then each position is a
+    group of its own, and a hot one as many as its records need.
+    """
+    filed = ledger.withColumn("file", F.floor(F.col("position") / FILE).cast("long"))
+    crowds = materialize(filed.groupBy("file", "position").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") > HOT), "crowds")
+    digits = F.coalesce(F.ceil(F.log(16.0, F.col("crowd") / HOT)), F.lit(0)).cast("int")
+    marked = filed.join(crowds.select("file").distinct().withColumn("busy", F.lit(True)), "file", "left").join(crowds.drop("file"), "position", "left")
+    dealt = marked.withColumn("at", F.when(F.col("busy"), F.col("position")).otherwise(F.lit(-1)).cast("long")).withColumn("deal", _deal(digits))
+    size = F.col("length") * F.col("copies")
+    starts = dealt.groupBy("file", "at", "deal").agg(F.sum(size).alias("bytes"))
+    starts = starts.withColumn("start", _before(F.col("bytes"), ["file"], ["at", "deal"])).drop("bytes")
+    inside = dealt.withColumn("within", _before(size, ["file", "at", "deal"], ["position", "digest"]))
+    return inside.join(starts, ["file", "at", "deal"]).withColumn("offset", F.col("start") + F.col("within")).select("position", "digest", "length", "copies", "file", "at", "deal", "offset")
+
+
+def _deal(digits: Column) -> Column:
+    """The number that the digest's first digits make; 0 for none."""
+    return F.when(digits > 0, F.conv(F.substring("digest", 1, digits), 16, 10).cast("long")).otherwise(F.lit(0)).cast("long")
 
 
 def merkle_levels(ledger: DataFrame, height: int) -> list[DataFrame]:
     """The tree's levels (node, hash), leaves first; ``ledger`` has offsets."""
     entry = F.concat_ws(":", "position", "offset", "length", "copies", "digest")
     inside = F.sort_array(F.collect_list(F.struct("position", "digest", entry.alias("e"))))
-    leaves = ledger.groupBy(F.floor(F.col("position") / LEAF).cast("long").alias("node")).agg(F.sha2(F.array_join(F.transform(inside, lambda x: x["e"]), "\n"), 256).alias("hash"))
+    # A leaf covers its groups' hashes in order; nearly always there is one.
+    groups = ledger.groupBy(F.floor(F.col("position") / LEAF).cast("long").alias("node"), "at", "deal").agg(F.sha2(F.array_join(F.transform(inside, lambda x: x["e"]), "\n"), 256).alias("hash"))
+    below = F.sort_array(F.collect_list(F.struct("at", "deal", "hash")))
+    leaves = groups.groupBy("node").agg(F.sha2(F.array_join(F.transform(below, lambda x: x["hash"]), "\n"), 256).alias("hash"))
     out = [materialize(leaves, "leaves")]
     for _ in range(height):
         kids = F.sort_array(F.collect_list(F.struct("node", "hash")))
@@ -93,14 +119,22 @@ def audit(primary: DataFrame, replica: DataFrame, position: str, record: Column)
         "position", "digest", "length", F.col("x.offset").alias("o1"), F.col("y.offset").alias("o2"), F.coalesce("x.copies", F.lit(0)).alias("c1"), F.coalesce("y.copies", F.lit(0)).alias("c2"))
     moved = same.where("c1 = c2 and o1 <> o2").select("position", F.col("o1").alias("offset"), "length", "digest", F.col("o2").alias("replica_offset"), F.col("length").alias("replica_length"), F.col("digest").alias("replica_digest"), F.col("c1").alias("copies"), F.col("c2").alias("replica_copies"), F.lit("moved").alias("status"))
     rest = same.where("c1 <> c2")
-    turn = F.row_number().over(W.partitionBy("position").orderBy("digest", "length")).alias("turn")
-    lost = rest.where("c1 > c2").select("position", turn, F.col("digest").alias("d1"), F.col("length").alias("l1"), F.col("o1"), (F.col("c1") - F.col("c2")).alias("c1"))
-    found = rest.where("c2 > c1").select("position", turn, F.col("digest").alias("d2"), F.col("length").alias("l2"), F.col("o2"), (F.col("c2") - F.col("c1")).alias("c2"))
+    lost = _numbered(rest.where("c1 > c2")).select("position", "turn", F.col("digest").alias("d1"), F.col("length").alias("l1"), F.col("o1"), (F.col("c1") - F.col("c2")).alias("c1"))
+    found = _numbered(rest.where("c2 > c1")).select("position", "turn", F.col("digest").alias("d2"), F.col("length").alias("l2"), F.col("o2"), (F.col("c2") - F.col("c1")).alias("c2"))
     status = F.when(F.col("d2").isNull(), "missing").when(F.col("d1").isNull(), "extra").otherwise("corrupt")
     changed = lost.join(found, ["position", "turn"], "full_outer").select("position", F.col("o1").alias("offset"), F.col("l1").alias("length"), F.col("d1").alias("digest"), F.col("o2").alias("replica_offset"), F.col("l2").alias("replica_length"), F.col("d2").alias("replica_digest"), F.coalesce("c1", F.lit(0)).alias("copies"), F.coalesce("c2", F.lit(0)).alias("replica_copies"), status.alias("status"))
     return changed.unionByName(moved).withColumn("file", F.floor(F.col("position") / FILE).cast("long"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number each position's rows from 1 in the order of digest and length, the ``turn``; by the first digits first, so that no task holds a hot position."""
+    dealt = materialize(rows.withColumn("first", F.substring("digest", 1, 4)), "rest")
+    starts = dealt.groupBy("position", "first").agg(F.count(F.lit(1)).alias("rows"))
+    starts = starts.withColumn("start", _before(F.col("rows"), ["position"], ["first"])).drop("rows")
+    own = F.row_number().over(W.partitionBy("position", "first").orderBy("digest", "length"))
+    return dealt.withColumn("own", own).join(starts, ["position", "first"]).withColumn("turn", F.col("start") + F.col("own"))
+
+
 #: One page in so many is damaged in the query's replica, and one in so many others lost.
 DAMAGE, LOSS = 61, 97
 
