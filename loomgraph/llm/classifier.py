@@ -4,8 +4,9 @@ Texts become indicators of n-grams: of words (one and two), of character shapes
 lower-case, capitals, digits, each symbol; one to four), and of how much of the text
 repeats its own three-word grams or doubles its words.  Indicators are scaled by their class log-count ratio,
 counted over every labelled training row, and a linear hinge-loss model is fitted by dual
-coordinate descent on at most ``MAX_TRAIN`` of those rows (the ones of least hash).  Margins become
-probabilities by a logistic fit on a fifth of the sample that the model doesn't see.
+coordinate descent on at most ``MAX_TRAIN`` of those rows (the ones of least hash, as many as have
+``MAX_BYTES`` of features together).  Margins become probabilities by a logistic fit on a fifth of
+the sample that the model doesn't see.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.sieve import maybe_in
 from loomgraph.llm.wordhash import buffers, distinct, shingles, words
-from loomgraph.plans.store import ship_package
+from loomgraph.plans.store import materialize, ship_package
 
 MAX_TRAIN = 8_000
+MAX_BYTES = 128 << 20  # of the sample's features, 2 bytes each, on the driver
 FOLDS = 5
 THRESHOLD = 0.3
 BITS = 16
@@ -84,8 +87,7 @@ class Model:
     shift: float
 
     def margin(self, x: np.ndarray) -> float:
-        r = self.ratio[x]
-        return float(r @ self.weight[x] / max(1e-9, np.sqrt(r @ r)) + self.bias)
+        return float(scaled(x, self.ratio) @ self.weight[x] + self.bias)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
@@ -112,11 +114,19 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "label", "x"])
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST, epochs: int = EPOCHS, values=None) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss: (weights, bias) over sparse rows of ``values``."""
-    w, bias = np.zeros(size), 0.0
+def scaled(x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The values of a text's features: their ratios, as a vector of length 1."""
+    r = ratio[x]
+    return r / max(1e-9, np.sqrt(r @ r))
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss: (weights, bias) over the rows' features, scaled by ``ratio``.
+
+    Values are made anew for each step, so memory is that of the features alone.
+    """
+    w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
-    norm = np.array([v @ v + 1.0 for v in values])
     order = np.arange(len(rows))
     rng = np.random.default_rng(7)
     share = {s: max(1, int((y == s).sum())) for s in (1, -1)}
@@ -124,8 +134,9 @@ def descend(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST
     for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
-            x, v = rows[i], values[i]
-            step = alpha[i] - (y[i] * (w[x] @ v + bias) - 1) / norm[i]
+            x = rows[i]
+            v = scaled(x, ratio)
+            step = alpha[i] - (y[i] * (w[x] @ v + bias) - 1) / (v @ v + 1)
             new = min(max(step, 0.0), most[i])
             if (change := (new - alpha[i]) * y[i]) != 0:
                 w[x] += change * v
@@ -134,6 +145,12 @@ def descend(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST
     return w, bias
 
 
+def log_count_ratio(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Of each feature, from the number of good and bad texts that hold it."""
+    p, q = good + SMOOTH, bad + SMOOTH
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of P(y = 1 | margin), by Newton steps with smoothed targets (Platt)."""
     good, bad = int((y > 0).sum()), int((y <= 0).sum())
@@ -154,31 +171,34 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_TRAIN) -> Model:
     """Learn from the rows of ``labels`` that aren't held out; null ids and labels are left out.
 
-    Without any labelled text, or with one class only, the model knows nothing but the classes' shares.
+    An id that is labelled twice has its least label; of texts that share an id all are counted,
+    and the sample takes the one of least features.  Without any labelled text, or with one class
+    only, the model knows nothing but the classes' shares.
     """
     ship_package(docs.sparkSession)
     train = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    train = train.groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # Only rows that may be labelled are shuffled to their label.
     near = texts.where(maybe_in(F.col("doc_id"), train.select(F.col("doc_id").alias("key")))).join(train, "doc_id")
     counts = near.select("text", "label").mapInArrow(_count, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
-    good, bad = np.full(SIZE, SMOOTH), np.full(SIZE, SMOOTH)
-    at = counts.column("feature").to_numpy()
-    good[at] += counts.column("good").to_numpy()
-    bad[at] += counts.column("bad").to_numpy()
-    ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    sample = train.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_extract, "doc_id long, label int, x binary").limit(2 * most).toArrow()
+    at, good, bad = counts.column("feature").to_numpy(), np.zeros(SIZE), np.zeros(SIZE)
+    good[at], bad[at] = counts.column("good").to_numpy(), counts.column("bad").to_numpy()
+    ratio = log_count_ratio(good, bad)
+    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInArrow(_extract, "doc_id long, label int, x binary")
+    found = materialize(found.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("e")).select("doc_id", "e.label", "e.x"), "sample")
+    load = F.sum(F.octet_length("x")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample alone
+    picked = found.withColumn("load", load).where(F.col("load") <= MAX_BYTES).select("doc_id", "label", "x").toArrow()
     order = np.argsort(picked.column("doc_id").to_numpy(), kind="stable")
-    rows = [np.frombuffer(picked.column("x")[int(i)].as_py(), np.uint16).astype(np.int64) for i in order]
+    rows = [np.frombuffer(picked.column("x")[int(i)].as_buffer(), np.uint16) for i in order]
     y = picked.column("label").to_numpy()[order] * 2.0 - 1
     if len(set(y.tolist())) < 2:
         return Model(ratio, np.zeros(SIZE), 0.0, 1.0, float(np.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1))))
-    scaled = [ratio[x] / max(1e-9, np.sqrt(ratio[x] @ ratio[x])) for x in rows]
     test = np.arange(len(rows)) % 5 == 4
     part = [i for i in range(len(rows)) if not test[i]]
-    w, b = descend([rows[i] for i in part], y[part], SIZE, values=[scaled[i] for i in part])
-    m = np.array([w[rows[i]] @ scaled[i] + b for i in np.flatnonzero(test)])
+    w, b = descend([rows[i] for i in part], y[part], ratio)
+    m = np.array([w[rows[i]] @ scaled(rows[i], ratio) + b for i in np.flatnonzero(test)])
     slope, shift = _logistic(m, y[test])
     return Model(ratio, w, b, slope, shift)
 

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loomgraph.llm import classifier
 
@@ -57,5 +59,53 @@ def test_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 20, 6)) for _ in range(300)]
     y = np.array([1.0 if 3 in r else -1.0 for r in rows])
-    w, b = classifier.descend(rows, y, 20, cost=10, epochs=200, values=[np.ones(len(r)) for r in rows])
+    w, b = classifier.descend(rows, y, np.ones(20), cost=100, epochs=300)
     assert np.mean([np.sign(w[r].sum() + b) == t for r, t in zip(rows, y)]) == 1
+
+
+def test_descent_reaches_the_least_loss():
+    """Against plain subgradient steps on the primal loss of the same scaled rows."""
+    rng = np.random.default_rng(4)
+    ratio = rng.normal(size=30)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(200)]
+    y = np.array([1.0 if ratio[r].sum() + rng.normal() > 0 else -1.0 for r in rows])
+    x = np.zeros((200, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 30] = 1
+    cost = np.array([min(4.0, 200 / (2 * (y == t).sum())) for t in y])
+    loss = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    w, b = classifier.descend(rows, y, ratio, cost=1.0, epochs=400)
+    v, least = np.zeros(31), np.inf
+    for t in range(1, 40_000):
+        v = v - (v - ((cost * y * (y * (x @ v) < 1)) @ x)) / (t + 100)
+        least = min(least, loss(v)) if t % 50 == 0 else least
+    assert loss(np.append(w, b)) <= least * 1.002
+
+
+def test_log_count_ratios_match_brute_force(spark):
+    docs, labels = tables(spark, 120)
+    model = classifier.fit(docs, labels)
+    kind = {r["doc_id"]: r["quality"] for r in labels.where(~classifier.held_out()).collect() if r["doc_id"] is not None and r["quality"] is not None}
+    held = {0: {}, 1: {}}
+    for r in docs.collect():
+        if r["doc_id"] in kind:
+            for x in next(classifier.features(pa.array([r["text"]], pa.string()))).tolist():
+                held[kind[r["doc_id"]]][x] = held[kind[r["doc_id"]]].get(x, 0) + 1
+    total = [sum(held[c].values()) + classifier.SIZE for c in (0, 1)]
+    for x in {*held[0], *held[1], 5}:
+        want = math.log((held[1].get(x, 0) + 1) / total[1]) - math.log((held[0].get(x, 0) + 1) / total[0])
+        assert abs(model.ratio[x] - want) < 1e-9
+
+
+def test_repeated_ids_long_texts_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(classifier, "MAX_BYTES", 20_000)
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    rows = [(i % 50, long if i == 7 else f"the text {i} " * 5, 1, 2.0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, score double").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, "z") for i in range(50)] + [(3, 0, "z")], "doc_id long, quality int, text string")
+    a, b = classifier.fit(docs, labels), classifier.fit(docs.repartition(5), labels)
+    assert np.array_equal(a.weight, b.weight)
+    got = classifier.score(docs, a)
+    assert got.columns == ["doc_id", "score"] and got.count() == 150
