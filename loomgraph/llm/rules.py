@@ -72,14 +72,13 @@ def base_failed(least_words: int = 50, repeat_share: float = 0.5) -> Column:
 
 
 def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the metric columns to ``df`` (columns named like a metric are replaced).
+    """Add the metric columns to ``df`` (columns named like a metric are replaced, all others stay).
 
     Null text counts as empty: all counts are 0.  ``n_repeat_words`` is exact: windows
     are first matched by hash (packed with their position into one long, so that a
     primitive sort finds equal ones), then the few matches by their words.
     """
-    keep = [c for c in df.columns if not c.startswith("_q_")]
-    one = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_q_text"))
+    one = df.select(F.struct("*").alias("_q_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_q_text"))
     two = one.withColumn("_q_words", words_of(F.col("_q_text")))
     n = F.size("_q_words")
     w = F.col("_q_words")
@@ -122,7 +121,8 @@ def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "upper_share": F.col("_q_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
         "stop_word_share": F.col("_q_stop") / some,
     })
-    return ratios.drop(*[c for c in ratios.columns if c.startswith("_q_")])
+    metrics = [c for c in ratios.columns if not c.startswith("_q_")]
+    return ratios.select(*[F.col(f"_q_row.`{c}`") for c in df.columns if c not in metrics], *metrics)
 
 
 def quality_rules(df: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
