@@ -10,6 +10,7 @@ shuffle: the items are the stated query set, and a block of them is bounded in b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.wordhash import LETTERS, shingles, words
-from loomgraph.plans.store import ship_package
+from loomgraph.plans.store import materialize, ship_package
 
 WORDS_AN_EDIT = 8
 LEAD = 3  # words of a piece that are looked up
@@ -127,14 +128,14 @@ def align(item: Item, text: list[int]) -> tuple[int, int, int]:
     return best, end - length, end
 
 
-def _blocks(items: DataFrame, item_col: str, text: str) -> list[list[tuple]]:
-    """The items in blocks of bounded size; each comes to the driver on its own."""
+def _blocks(items: DataFrame, item_col: str, text: str) -> Iterator[tuple[list[tuple], bool]]:
+    """The items in blocks of bounded size, and whether it is the last; each comes to the driver on its own."""
     rows = items.select(F.col(item_col).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     block = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1)))
     for k in range(n):
-        yield sorted(((r["i"], r["t"]) for r in rows.where(block == k).collect()), key=lambda x: (x[0] is None, x[0], x[1] or ""))
+        yield sorted(((r["i"], r["t"]) for r in rows.where(block == k).collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), k == n - 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -142,16 +143,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; places count
     words from 0.  Null or wordless texts and items match nothing; repeated rows repeat
-    their matches.  Ties take the first place.
+    their matches.  Ties take the first place.  Blocks of items are searched one after the
+    other, each result written, so the driver holds one block (or one longer item) at a time.
     """
     spark = docs.sparkSession
     ship_package(spark)
     schema = "doc_id long, item_id long, distance long, first_word long, end_word long, item_words long"
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_col, item_text):
-        out = out.unionByName(narrow.mapInArrow(_finder(Matcher(block)), schema))
-    return out
+    out = None
+    for block, last in _blocks(items, item_col, item_text):
+        found = narrow.mapInArrow(_finder(Matcher(block)), schema)
+        found = found if last and out is None else materialize(found, "leaks")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _finder(matcher: Matcher):
@@ -169,11 +173,16 @@ def _finder(matcher: Matcher):
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item stands, with all their columns."""
+    """The rows of ``docs`` in which no item stands, with all their columns, whatever their names.
+
+    A null or wordless text holds no item and stays; repeated rows stand or fall together;
+    without items, or with wordless ones only, every row stays.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index(text)
-    for block in _blocks(items, item_col, item_text):
+    for block, last in _blocks(items, item_col, item_text):
         docs = docs.mapInArrow(_keeper(Matcher(block), at), docs.schema)
+        docs = docs if last else materialize(docs, "clean")
     return docs
 
 

@@ -90,3 +90,12 @@ def test_first_word_missing_at_the_start(spark):
     q = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
     assert [tuple(r) for r in decontam.find_leaks(d, q).collect()] == [(1, 9, 1, 0, 37, 38)]
     assert decontam.drop_leaks(d, q).count() == 0
+
+
+def test_drop_leaks_keeps_extra_columns_nulls_and_repeats(spark):
+    rows = [(1, "one two three four", 5, "a"), (1, "clean words only", 6, "b"), (None, None, 7, "c"), (2, "clean words only", 6, "b"), (2, "clean words only", 6, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id int, distance string")
+    q = spark.createDataFrame([(9, "two three four"), (None, None)], "item_id long, text string")
+    kept = decontam.drop_leaks(d, q)
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+    assert decontam.drop_leaks(d.limit(0), q).count() == 0 and decontam.drop_leaks(d, q.limit(0)).count() == 5
