@@ -10,8 +10,12 @@ from __future__ import annotations
 from collections import deque
 
 
-def maximum_pairs(edges: list[tuple]) -> set[tuple]:
-    """The edges (as given) of a matching with the most edges; loops and repeats don't matter."""
+def maximum_pairs(edges: list[tuple]) -> tuple[set[tuple], list]:
+    """The edges (as given) of a matching with the most edges, and a barrier; loops and repeats don't matter.
+
+    The barrier proves the matching: without its vertices the graph falls into so many odd
+    components that (vertices + barrier - odd components) / 2 edges is the most there can be.
+    """
     index: dict = {}
     for u, v in edges:
         for x in (u, v):
@@ -28,21 +32,29 @@ def maximum_pairs(edges: list[tuple]) -> set[tuple]:
         if a != b and mate[a] < 0 and mate[b] < 0:
             mate[a], mate[b] = b, a
     gone = [False] * n
+    barrier: list[int] = []
     for root in range(n):
         if mate[root] < 0:
-            _augment(root, near, mate, gone)
+            barrier += _augment(root, near, mate, gone)
     names = list(index)
     chosen = {frozenset((names[a], names[b])) for a, b in enumerate(mate) if b > a}
-    return {e for e in edges if e[0] != e[1] and frozenset(e) in chosen}
+    return {e for e in edges if e[0] != e[1] and frozenset(e) in chosen}, [names[x] for x in barrier]
+
 
+class _Own(dict):
+    """Each key stands for itself until it is set."""
 
-def _augment(root: int, near: list[list[int]], mate: list[int], gone: list[bool]) -> bool:
-    """Search from a free vertex; on success flip the path and return True.
+    def __missing__(self, key):
+        return key
 
-    No later search can gain from the tree of a failed one, so its vertices are gone.
+
+def _augment(root: int, near: list[list[int]], mate: list[int], gone: list[bool]) -> list[int]:
+    """Search from a free vertex and flip the path that is found; else return the tree's odd vertices.
+
+    No later search can gain from the tree of a failed one, so its vertices are gone.  What a
+    search touches, and so its cost, is its own tree.
     """
-    n = len(near)
-    base = list(range(n))
+    base = _Own()
     link: dict[int, int] = {}  # the even vertex from which an odd one was reached
     even = {root}
     queue = deque([root])
@@ -77,7 +89,7 @@ def _augment(root: int, near: list[list[int]], mate: list[int], gone: list[bool]
                 inside: set[int] = set()
                 mark(v, top, w, inside)
                 mark(w, top, v, inside)
-                for x in range(n):
+                for x in (*even, *link):
                     if base[x] in inside:
                         base[x] = top
                         if x not in even:
@@ -91,9 +103,9 @@ def _augment(root: int, near: list[list[int]], mate: list[int], gone: list[bool]
                         after = mate[v]
                         mate[v], mate[w] = w, v
                         w = after
-                    return True
+                    return []
                 even.add(mate[w])
                 queue.append(mate[w])
     for x in (*even, *link):
         gone[x] = True
-    return False
+    return [x for x in link if x not in even]

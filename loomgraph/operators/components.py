@@ -9,12 +9,14 @@ its least node, because the least node is always its own parent.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.stats import RunStats
 from loomgraph.plans.store import discard, materialize, ship_package
 
 BUDGET = 50_000
@@ -41,21 +43,24 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": nodes, "parent": [root(x) for x in nodes]})
 
 
-def label_nodes(edges: DataFrame, src: str = "src", dst: str = "dst", budget: int = BUDGET) -> DataFrame:
+def label_nodes(edges: DataFrame, src: str = "src", dst: str = "dst", budget: int = BUDGET, stats: list | None = None) -> DataFrame:
     """(node, component) for every node that has an edge to another node.
 
     Rows with a null end and loops name no link; ``edges`` may repeat and run either way.
+    ``stats`` gets a row for each round.
     """
     ship_package(edges.sparkSession)
     kind = edges.schema[src].dataType
     links = edges.where(F.col(src) != F.col(dst)).select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).distinct()
     links = materialize(links, "links")
     steps: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        n = links.count()
+    for turn in range(MAX_ROUNDS):
+        n, began = links.count(), time.time()
         if n <= budget:
             schema = f"node {kind.simpleString()}, parent {kind.simpleString()}"
             steps.append(materialize(links.coalesce(1).mapInPandas(_union_find, schema), "parents"))
+            if stats is not None:
+                stats.append(RunStats("connected_components", turn + 1, n, remaining=0, seconds=time.time() - began))
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parents = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("parent"))
@@ -68,6 +73,8 @@ def label_nodes(edges: DataFrame, src: str = "src", dst: str = "dst", budget: in
         fresh = materialize(moved, "links")
         discard(links)
         links = fresh
+        if stats is not None:
+            stats.append(RunStats("connected_components", turn + 1, n, remaining=links.count(), seconds=time.time() - began))
     else:
         raise RuntimeError("components did not settle")
     out = steps[0].withColumnRenamed("parent", "component")
@@ -77,10 +84,10 @@ def label_nodes(edges: DataFrame, src: str = "src", dst: str = "dst", budget: in
     return out
 
 
-def connected_components(edges: DataFrame, budget: int = BUDGET) -> DataFrame:
+def connected_components(edges: DataFrame, budget: int = BUDGET, stats: list | None = None) -> DataFrame:
     """(node, component = least node) for every end of an edge; a node with loops only is its own component."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    return nodes.join(label_nodes(edges, budget=budget), "node", "left").select("node", _own("component").alias("component"))
+    return nodes.join(label_nodes(edges, budget=budget, stats=stats), "node", "left").select("node", _own("component").alias("component"))
 
 
 def _own(label: str) -> Column:

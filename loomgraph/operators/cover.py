@@ -9,13 +9,13 @@ from loomgraph.operators.matching import maximal_matching, maximum_matching
 from loomgraph.operators.model import canonical, vertices
 
 
-def _matching(edges: DataFrame, maximum: bool) -> DataFrame:
-    return maximum_matching(edges) if maximum else maximal_matching(edges)
+def _matching(edges: DataFrame, maximum: bool, stats: list | None) -> DataFrame:
+    return maximum_matching(edges, stats=stats) if maximum else maximal_matching(edges, stats=stats)
 
 
-def vertex_cover(edges: DataFrame, matching: DataFrame | None = None, maximum: bool = False) -> DataFrame:
+def vertex_cover(edges: DataFrame, matching: DataFrame | None = None, maximum: bool = False, stats: list | None = None) -> DataFrame:
     """(vertex): the ends of a maximal matching, at most twice as many as needed."""
-    return vertices(matching if matching is not None else _matching(edges, maximum))
+    return vertices(matching if matching is not None else _matching(edges, maximum, stats))
 
 
 def cover_topup(edges: DataFrame, matching: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def cover_topup(edges: DataFrame, matching: DataFrame) -> DataFrame:
     return ends.join(vertices(matching), "vertex", "left_anti").groupBy("vertex").agg(F.min("e").alias("e")).select("e.*")
 
 
-def edge_cover(edges: DataFrame, matching: DataFrame | None = None, maximum: bool = False) -> DataFrame:
+def edge_cover(edges: DataFrame, matching: DataFrame | None = None, maximum: bool = False, stats: list | None = None) -> DataFrame:
     """(weight, src, dst): the matching and one edge more for each vertex that it leaves out."""
-    chosen = matching if matching is not None else _matching(edges, maximum)
+    chosen = matching if matching is not None else _matching(edges, maximum, stats)
     return chosen.unionByName(cover_topup(edges, chosen))
 
 

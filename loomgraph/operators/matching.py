@@ -20,6 +20,7 @@ from loomgraph.operators.stats import RunStats
 from loomgraph.plans.store import discard, materialize, ship_package
 
 BUDGET = 200_000
+MOST = 300_000  # edges of a component that one task matches
 
 
 def _greedy(batches):
@@ -95,12 +96,10 @@ def maximal_matching_by_filtering(edges: DataFrame, budget: int = 25_000, seed:
         rest = fresh
 
 
-def maximum_matching(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(weight, src, dst) of a matching with the most edges: one blossom search a component.
-
-    A component must fit one worker: more than ``most`` edges in one raise an error.
-    """
+def _solved(edges: DataFrame, most: int, stats: list | None = None) -> DataFrame:
+    """(weight, src, dst, barrier): the edges of a maximum matching (no barrier) and the vertices that prove it."""
     ship_package(edges.sparkSession)
+    began = time.time()
     simple = materialize(canonical(edges), "edges")
     labels = label_nodes(simple).select(F.col("node").alias("src"), "component")
     owned = simple.join(labels, "src")
@@ -110,12 +109,41 @@ def maximum_matching(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 
     def solve(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["weight", "src", "dst"])
-        pairs = maximum_pairs(list(zip(table["src"].tolist(), table["dst"].tolist())))
+        pairs, barrier = maximum_pairs(list(zip(table["src"].tolist(), table["dst"].tolist())))
         keep = [p in pairs for p in zip(table["src"].tolist(), table["dst"].tolist())]
-        return table[keep][["weight", "src", "dst"]]
+        chosen = table[keep][["weight", "src", "dst"]]
+        return pd.concat([chosen.assign(barrier=None), pd.DataFrame({"weight": None, "src": None, "dst": None, "barrier": barrier})]).astype(object)
 
     kind = simple.schema["weight"].dataType.simpleString()
-    return owned.groupBy("component").applyInPandas(solve, f"weight {kind}, src long, dst long")
+    out = materialize(owned.groupBy("component").applyInPandas(solve, f"weight {kind}, src long, dst long, barrier long"), "maximum")
+    if stats is not None:
+        stats.append(RunStats("maximum_matching", 1, simple.count(), matched=out.where("barrier is null").count(), remaining=0, seconds=time.time() - began))
+    return out
+
+
+def maximum_matching(edges: DataFrame, most: int = MOST, stats: list | None = None) -> DataFrame:
+    """(weight, src, dst) of a matching with the most edges: one blossom search a component.
+
+    A component must fit one worker: more than ``most`` edges in one raise an error.
+    """
+    return _solved(edges, most, stats).where("barrier is null").select("weight", "src", "dst")
+
+
+def maximum_matching_proof(edges: DataFrame, most: int = MOST) -> DataFrame:
+    """(edges, bound): the size of a maximum matching, and the most that its barrier allows (Tutte and Berge).
+
+    The bound is (vertices + barrier - odd components without the barrier) / 2; equal
+    numbers prove the matching, whatever found it.
+    """
+    simple = materialize(canonical(edges), "edges")
+    solved = _solved(simple, most)
+    barrier = solved.where("barrier is not null").select(F.col("barrier").alias("vertex"))
+    rest = without_vertices(simple, barrier)
+    left = vertices(simple).join(barrier, "vertex", "left_anti").join(label_nodes(rest).withColumnRenamed("node", "vertex"), "vertex", "left")
+    odd = left.groupBy(F.coalesce("component", "vertex").alias("component")).count().where("count % 2 = 1").agg(F.count(F.lit(1)).alias("n"))
+    whole = vertices(simple).agg(F.count(F.lit(1)).alias("n"))
+    size = solved.agg(F.count("src").alias("edges"), F.count("barrier").alias("barrier"))
+    return size.select("edges", ((whole.scalar() + F.col("barrier") - odd.scalar()) / 2).cast("long").alias("bound"))
 
 
 def check_matching(edges: DataFrame, matching: DataFrame) -> DataFrame:

@@ -15,6 +15,15 @@ def unit_weights(edges: DataFrame) -> DataFrame:
     return edges.select(F.lit(1).cast("bigint").alias("weight"), "src", "dst")
 
 
+def jittered(edges: DataFrame, seed: int = 1) -> DataFrame:
+    """Weights as doubles with up to 1e-9 more, by a hash, so that nearly all ties are broken and reruns agree.
+
+    Cut to integers, whole weights are what they were.
+    """
+    share = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    return edges.withColumn("weight", F.col("weight").cast("double") + share * 1e-9)
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
 

@@ -5,17 +5,20 @@ Bitmaps are combined with bit_or, so partial aggregation runs before any shuffle
 
 from __future__ import annotations
 
+import time
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.sketch import A, B, Q, TOP_BIT, bucket_of, estimate, linear_hash, lowest_unset, reach_bit, stream_bit, tail_of
+from loomgraph.operators.stats import RunStats
 from loomgraph.plans.store import materialize, ship_package
 
 BUDGET = 100_000
-CHUNK = 4096
+RUN = 100_000  # nodes of a run of the checksum, about
 
 
 def pcsa_buckets(values: DataFrame, ks: list[int]) -> DataFrame:
@@ -66,12 +69,12 @@ def _fixpoint(k: int):
     return run
 
 
-def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "bitmap", rounds: list | None = None) -> DataFrame:
+def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "bitmap", rounds: list | None = None, stats: list | None = None) -> DataFrame:
     """(node, bucket, bm) for every node with an out-edge, over what it reaches, itself included.
 
     ``stop="bitmap"`` runs to the fixpoint of the bitmaps; ``"estimate"`` ends with the first
     round that changes no estimate.  ``rounds`` gets each round's number and how many nodes
-    changed in it.  Small graphs are finished in one task.
+    changed in it, and ``stats`` the same as run statistics.  Small graphs are finished in one task.
     """
     ship_package(edges.sparkSession)
     arcs = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "arcs")
@@ -81,7 +84,7 @@ def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "b
     state = materialize(_own_bits(nodes, k), "state")
     turn = 0
     while True:
-        turn += 1
+        turn, began = turn + 1, time.time()
         pulled = arcs.join(state, arcs["dst"] == state["node"]).select(F.col("src").alias("node"), "bucket", "bm")
         grown = materialize(state.unionByName(pulled).groupBy("node", "bucket").agg(F.bit_or("bm").alias("bm")), "state")
         old, new = (state, grown) if stop == "bitmap" else (_node_estimates(state, k), _node_estimates(grown, k))
@@ -89,6 +92,8 @@ def reach_bitmaps(edges: DataFrame, k: int, budget: int = BUDGET, stop: str = "b
         state = grown
         if rounds is not None:
             rounds.append((turn, votes))
+        if stats is not None:
+            stats.append(RunStats("reach_bitmaps", turn, arcs.count(), remaining=votes, seconds=time.time() - began))
         if not votes:
             break
     return state.join(arcs.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("node", "bucket", "bm")
@@ -104,17 +109,27 @@ def estimate_reachable(edges: DataFrame, k: int, **how) -> DataFrame:
     return _node_estimates(reach_bitmaps(edges, k, **how), k)
 
 
+def _fold_run(batches):
+    """(start, a, b): the affine map of a partition's nodes, which come in order."""
+    a, b, start = 1, 0, None
+    for batch in batches:
+        for node, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            start = node if start is None else start
+            a, b = a * A % Q, (A * ((b + e) % Q) + B) % Q
+    if start is not None:
+        yield pa.RecordBatch.from_pydict({"start": [start], "a": [a], "b": [b]})
+
+
 def ordered_checksum(estimates: DataFrame) -> DataFrame:
     """(checksum): c becomes h(c + estimate) over the nodes in order, from 0.
 
-    h is affine, so a run of nodes is an affine map c -> a * c + b.  Runs of CHUNK node ids
-    are folded apart and only their maps meet, so no task holds all nodes.
+    h is affine, so a run of nodes is an affine map c -> a * c + b.  Nodes are dealt by range to
+    runs of about RUN rows, whatever their ids, each is folded as a stream, and only the runs' maps meet.
     """
-    step = lambda c, e: (F.lit(A).cast("long") * F.pmod(c + e, F.lit(Q).cast("long")) + F.lit(B).cast("long")) % F.lit(Q).cast("long")
-    runs = estimates.groupBy(F.floor(F.col("node") / CHUNK).alias("run")).agg(F.sort_array(F.collect_list(F.struct("node", "estimate"))).alias("xs"))
-    folded = runs.select("run", F.aggregate("xs", F.lit(0).cast("long"), lambda c, x: step(c, x["estimate"])).alias("b"),
-                         F.aggregate("xs", F.lit(1).cast("long"), lambda c, x: c * F.lit(A).cast("long") % F.lit(Q).cast("long")).alias("a"))
-    order = folded.agg(F.sort_array(F.collect_list(F.struct("run", "a", "b"))).alias("xs"))
+    ship_package(estimates.sparkSession)
+    rows = materialize(estimates.select("node", "estimate"), "estimates")
+    runs = rows.repartitionByRange(max(1, -(-rows.count() // RUN)), "node").sortWithinPartitions("node").mapInArrow(_fold_run, "start long, a long, b long")
+    order = runs.agg(F.sort_array(F.collect_list(F.struct("start", "a", "b"))).alias("xs"))
     big = lambda c: c.cast("decimal(38,0)")
     whole = F.aggregate("xs", F.lit(0).cast("long"), lambda c, x: ((big(x["a"]) * big(c) + big(x["b"])) % F.lit(Q).cast("decimal(38,0)")).cast("long"))
     return order.select(whole.alias("checksum"))

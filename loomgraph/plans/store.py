@@ -78,6 +78,11 @@ def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     return back
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared scratch folder, for files of any format."""
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing will read any more."""
     path = getattr(df, "_scratch_path", None)

@@ -9,7 +9,10 @@ from loomgraph.functions.sketch import A, B, PHI, Q, TOP_BIT
 from loomgraph.operators import bfs as search
 from loomgraph.operators import components as cc
 from loomgraph.operators import cover, forest, grouping, matching, model, sketch
+from loomgraph.operators.stats import stats_frame
 from loomgraph.plans.fixtures import graph, graph_sql
+from loomgraph.plans.store import materialize, scratch_path
+from loomgraph.sources import files, text
 from loomgraph.sources.text import decode_adjacency, encode_adjacency
 
 QUERIES: dict = {}
@@ -57,6 +60,19 @@ def unit_weight_edges(spark, d):
     return model.unit_weights(model.canonical(graph(spark, d, "sparse")))
 
 
+@_add("jittered_weights", f"WITH {_c('full')} SELECT weight, src, dst, true AS near FROM e")
+def jittered_weights(spark, d):
+    """Jitter, cut off again, and whether it stays within a billionth (and a double's rounding)."""
+    spread = model.jittered(model.canonical(graph(spark, d, "full")).withColumn("before", F.col("weight")))
+    return spread.select(F.col("weight").cast("bigint").alias("weight"), "src", "dst", F.col("weight").between(F.col("before"), F.col("before") + 1e-6).alias("near"))
+
+
+@_add("edge_sample_whole", f"WITH {_c('sparse')} SELECT weight, src, dst FROM e")
+def edge_sample_whole(spark, d):
+    """A budget over the number of edges keeps them all."""
+    return model.sample_edges(model.canonical(graph(spark, d, "sparse")), 10**9)
+
+
 @_add("graph_union", f"WITH a AS ({graph_sql('sparse')} UNION ALL {graph_sql('orders')}) SELECT min(weight) AS weight, least(src, dst) AS src, greatest(src, dst) AS dst FROM a GROUP BY ALL")
 def graph_union(spark, d):
     return model.graph_union(graph(spark, d, "sparse"), graph(spark, d, "orders"))
@@ -224,6 +240,120 @@ def edge_cover_maximum_size(spark, d):
     return cover.edge_cover(graph(spark, d, "sparse"), maximum=True).agg(F.count(F.lit(1)).alias("edges"))
 
 
+@_add("edge_cover_maximum_check", "SELECT true AS covers, true AS least")
+def edge_cover_maximum_check(spark, d):
+    """An edge cover is least if it has as many edges as the vertices that a proven matching leaves and its own."""
+    edges = materialize(graph(spark, d, "users"), "users")
+    chosen = materialize(cover.edge_cover(edges, maximum=True), "cover")
+    every, held = model.vertices(edges), model.vertices(chosen)
+    left = every.join(held, "vertex", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    proof = matching.maximum_matching_proof(edges)
+    n, size = every.agg(F.count(F.lit(1)).alias("n")), chosen.agg(F.count(F.lit(1)).alias("n"))
+    return proof.select((left.scalar() == 0).alias("covers"), ((F.col("edges") == F.col("bound")) & (size.scalar() == n.scalar() - F.col("bound"))).alias("least"))
+
+
+@_add("maximum_matching_check", "SELECT true AS valid, true AS maximal, true AS maximum")
+def maximum_matching_check(spark, d):
+    """Over users, whose graph is full of odd cycles: a matching, and the barrier that proves it the largest."""
+    edges = materialize(graph(spark, d, "users"), "users")
+    proof = matching.maximum_matching_proof(edges)
+    held = matching.check_matching(edges, matching.maximum_matching(edges))
+    return held.crossJoin(F.broadcast(proof)).select("valid", "maximal", (F.col("edges") == F.col("bound")).alias("maximum"))
+
+
+@_add("msf_full_check", "SELECT true AS spans, true AS acyclic, true AS minimal")
+def msf_full_check(spark, d):
+    """A forest is the least one if below every weight it leaves as many components as the graph does."""
+    edges = materialize(model.canonical(graph(spark, d, "full")), "edges")
+    tree = materialize(forest.spanning_forest(edges), "tree")
+    n = model.vertices(edges).count()
+    cuts = edges.agg(F.percentile_approx("weight", [0.01, 0.1, 0.5, 1.0], 1000).alias("w")).first()["w"]  # four numbers
+    merged = [n - _components_below(edges, w, n) for w in cuts]
+    held = [tree.where(F.col("weight") <= w).count() for w in cuts]
+    within = tree.join(edges, ["weight", "src", "dst"], "left_anti").count() == 0
+    own = n - _components_below(tree, cuts[-1], n)
+    return spark.range(1).select(F.lit(within and own == merged[-1]).alias("spans"), F.lit(tree.count() == own).alias("acyclic"), F.lit(held == merged).alias("minimal"))
+
+
+def _components_below(edges, weight, n):
+    """Components of all n vertices, joined by the edges up to a weight."""
+    labels = cc.connected_components(edges.where(F.col("weight") <= weight)).agg(F.count(F.lit(1)).alias("v"), F.countDistinct("component").alias("c")).first()
+    return n - labels["v"] + labels["c"]
+
+
+@_add("edge_sample_check", "SELECT true AS within, true AS repeats, true AS expected")
+def edge_sample_check(spark, d):
+    """A sample holds edges of the graph, is the same on every run, and its size lies within six deviations."""
+    edges = materialize(model.canonical(graph(spark, d, "full")), "edges")
+    total, budget = edges.count(), 1_000
+    one, two = (materialize(model.sample_edges(x, budget), "sample") for x in (edges, edges.repartition(3)))
+    size, p = one.count(), min(1.0, budget / total)
+    same = one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    return spark.range(1).select(F.lit(one.join(edges, edges.columns, "left_anti").isEmpty()).alias("within"), F.lit(same).alias("repeats"), F.lit(abs(size - total * p) <= 6 * (total * p * (1 - p)) ** 0.5).alias("expected"))
+
+
+TEXT_ORDER = "weight::VARCHAR || chr(9) || src::VARCHAR"
+INPUT_ORDER = "(src * 7919 + dst * 104729) % 1000003"
+
+
+def _greedy_by(order: str) -> str:
+    return f"WITH RECURSIVE raw AS ({graph_sql('sparse')}), k AS (SELECT weight, least(src, dst) AS src, greatest(src, dst) AS dst, row_number() OVER (ORDER BY {order}, least(src, dst), greatest(src, dst)) AS i FROM raw), {GREEDY} SELECT * FROM m"
+
+
+@_add("maximal_matching_text_order", _greedy_by(TEXT_ORDER))
+def maximal_matching_text_order(spark, d):
+    return matching.maximal_matching(graph(spark, d, "sparse"), order="text")
+
+
+@_add("maximal_matching_input_order", _greedy_by(INPUT_ORDER))
+def maximal_matching_input_order(spark, d):
+    edges = graph(spark, d, "sparse").withColumn("line", F.expr(INPUT_ORDER))
+    return matching.maximal_matching(edges, order="line")
+
+
+# The distributed rounds to their end, with no budget for one task, under the same SQL.
+@_add("components_rounds", f"WITH {_c('sparse')}, {LABELS} SELECT node, component FROM c")
+def components_rounds(spark, d):
+    return cc.connected_components(graph(spark, d, "sparse"), budget=0)
+
+
+@_add("msf_rounds", f"WITH {_c('sparse')}, {FOREST} SELECT * FROM t")
+def msf_rounds(spark, d):
+    return forest.spanning_forest(graph(spark, d, "sparse"), budget=0)
+
+
+@_add("matching_rounds", f"WITH {_c('sparse')}, {GREEDY} SELECT * FROM m")
+def matching_rounds(spark, d):
+    return matching.maximal_matching(graph(spark, d, "sparse"), budget=0)
+
+
+@_add("bfs_rounds", f"{_bfs_sql(ONE)} SELECT vertex, distance FROM h")
+def bfs_rounds(spark, d):
+    edges = graph(spark, d, "sparse")
+    return search.bfs(edges, _first(edges), budget=0)
+
+
+RESUMED = f"WITH {_c('sparse')}, r(v, dist) AS (SELECT a, (a % 5)::INT FROM u WHERE {MANY} UNION SELECT u.b, r.dist + 1 FROM r JOIN u ON r.v = u.a WHERE r.dist < 40), h AS (SELECT v, min(dist) AS distance FROM r GROUP BY v) SELECT DISTINCT a AS id, distance, CASE WHEN distance IS NULL THEN 'WHITE' ELSE 'BLACK' END AS color FROM u LEFT JOIN h ON u.a = h.v"
+
+
+def _resumed(spark, d, budget):
+    records = model.adjacency(model.canonical(graph(spark, d, "sparse")))
+    gray = F.col("id") % 97 == 1
+    records = records.withColumns({"distance": F.when(gray, F.col("id") % 5).cast("int"), "color": F.when(gray, "GRAY").otherwise("WHITE")})
+    return search.bfs_records(records, budget).select("id", "distance", "color")
+
+
+@_add("bfs_records_resumed", RESUMED)
+def bfs_records_resumed(spark, d):
+    """Sources that already have distances of their own."""
+    return _resumed(spark, d, search.BUDGET)
+
+
+@_add("bfs_records_resumed_rounds", RESUMED)
+def bfs_records_resumed_rounds(spark, d):
+    return _resumed(spark, d, 0)
+
+
 SWEEP = [1, 2, 4, 8, 16, 32, 64]
 
 
@@ -295,6 +425,125 @@ def reach_checksum(spark, d):
     return sketch.ordered_checksum(sketch.estimate_reachable(graph(spark, d, "directed"), 16))
 
 
+@_add("reach_rounds", f"{_reach_sql([16])} SELECT node, estimate FROM s")
+def reach_rounds(spark, d):
+    return sketch.estimate_reachable(graph(spark, d, "directed"), 16, budget=0)
+
+
+@_add("run_statistics", "SELECT * FROM (VALUES ('bfs', true), ('connected_components', true), ('maximal_matching', true), ('maximum_matching', true), ('reach_bitmaps', true), ('spanning_forest', true)) t(operator, complete)")
+def run_statistics(spark, d):
+    """Whether each operator's statistics number its rounds from 1 and tell the edges that each began with."""
+    rows: list = []
+    edges = materialize(graph(spark, d, "sparse"), "edges")
+    cc.connected_components(edges, budget=0, stats=rows).count()
+    forest.spanning_forest(edges, budget=0, stats=rows).count()
+    cover.vertex_cover(edges, stats=rows).count()
+    matching.maximal_matching(edges, budget=0, stats=rows).count()
+    cover.edge_cover(edges, maximum=True, stats=rows).count()
+    search.bfs(edges, _first(edges), stats=rows).count()
+    sketch.estimate_reachable(graph(spark, d, "directed"), 16, budget=0, stats=rows).count()
+    told = stats_frame(spark, rows).groupBy("operator")
+    return told.agg(((F.min("round") == 1) & (F.max("round") == F.count(F.lit(1))) & (F.min("input_edges") >= 0) & (F.max("input_edges") > 0)).alias("complete"))
+
+
+# Sources and sinks: what is written in the scratch folder and read again.
+@_add("scan_weighted_edges", f"WITH {_c('full')} SELECT weight, src, dst FROM e")
+def scan_weighted_edges(spark, d):
+    path = scratch_path(spark, "edges")
+    text.write_edges(model.canonical(graph(spark, d, "full")), path)
+    return text.read_weighted_edges(spark, path, "bigint")
+
+
+@_add("scan_whole_weights", "SELECT floor(l_extendedprice)::BIGINT AS weight, l_orderkey AS src, l_partkey AS dst FROM lineitem")
+def scan_whole_weights(spark, d):
+    path = scratch_path(spark, "whole")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").alias("weight"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    text.write_edges(lines, path, whole_weights=True)
+    return text.read_weighted_edges(spark, path, "bigint")
+
+
+@_add("scan_directed_edges", graph_sql("directed"))
+def scan_directed_edges(spark, d):
+    path = scratch_path(spark, "arcs")
+    text.write_lines(graph(spark, d, "directed"), path, "src", "dst", separator=" ")
+    return text.read_directed_edges(spark, path)
+
+
+@_add("scan_adjacency", f"{_bfs_sql(ONE).split(', r(v, dist)')[0]} SELECT a AS id, string_agg(b::VARCHAR, ',' ORDER BY b) AS edges, CASE WHEN a = (SELECT min(a) FROM u) THEN 0 END AS distance, CASE WHEN a = (SELECT min(a) FROM u) THEN 'GRAY' ELSE 'WHITE' END AS color FROM u GROUP BY a")
+def scan_adjacency(spark, d):
+    path = scratch_path(spark, "adjacency")
+    text.write_adjacency(_records(spark, d), path)
+    return text.read_adjacency(spark, path).withColumn("edges", F.array_join("edges", ","))
+
+
+@_add("scan_integers", "SELECT l_partkey AS value, count(*) AS lines FROM lineitem GROUP BY l_partkey")
+def scan_integers(spark, d):
+    path = scratch_path(spark, "integers")
+    text.write_lines(_column(spark, d, "l_partkey"), path)
+    return text.read_integers(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@_add("scan_lenient", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::BIGINT END AS value FROM nation")
+def scan_lenient(spark, d):
+    """Every other line is no number, and null where that is allowed."""
+    path = scratch_path(spark, "lenient")
+    lines = spark.read.parquet(f"{d}/nation.parquet").select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise(F.col("n_name")).alias("value"))
+    text.write_lines(lines, path)
+    return text.read_integers(spark, path, lenient=True)
+
+
+@_add("dump_sequence_file", 'SELECT n_nationkey::BIGINT AS "key", n_name AS value FROM nation')
+def dump_sequence_file(spark, d):
+    path = scratch_path(spark, "sequence")
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").collect()  # a table of 25 rows
+    spark.sparkContext.parallelize([tuple(r) for r in rows], 2).saveAsSequenceFile(path)
+    return text.read_sequence_file(spark, path)
+
+
+@_add("dump_members", f"WITH {_c('sparse')}, {LABELS} SELECT component || chr(9) || '[' || string_agg(node::VARCHAR, ', ' ORDER BY node) || ']' AS value FROM c GROUP BY component")
+def dump_members(spark, d):
+    path = scratch_path(spark, "members")
+    text.write_members(grouping.component_members(_labels(spark, d)), path)
+    return text.read_lines(spark, path)
+
+
+@_add("dump_vertex_set", f"WITH {_c('sparse')}, {GREEDY} SELECT src AS value FROM m UNION SELECT dst FROM m")
+def dump_vertex_set(spark, d):
+    path = scratch_path(spark, "vertices")
+    text.write_lines(cover.vertex_cover(graph(spark, d, "sparse")), path)
+    return text.read_integers(spark, path)
+
+
+@_add("merged_parts", f"WITH {_c('full')} SELECT 1::BIGINT AS files, count(*) AS edges FROM e")
+def merged_parts(spark, d):
+    path = scratch_path(spark, "merged")
+    text.write_edges(model.canonical(graph(spark, d, "full")), path, single_file=True)
+    found = len(files.list_files(spark, f"{path}/part-*"))
+    return text.read_weighted_edges(spark, path).agg(F.lit(found).cast("long").alias("files"), F.count(F.lit(1)).alias("edges"))
+
+
+@_add("each_input_totals", " UNION ALL ".join(f"SELECT '{n}' AS input, count(*) AS edges, sum(weight)::BIGINT AS weight FROM ({graph_sql(n)})" for n in ("sparse", "orders")))
+def each_input_totals(spark, d):
+    paths = {scratch_path(spark, n): n for n in ("sparse", "orders")}
+    for path, n in paths.items():
+        text.write_edges(graph(spark, d, n), path)
+    totals = text.each_input(list(paths), lambda p: text.read_weighted_edges(spark, p, "bigint").agg(F.lit(paths[p]).alias("input"), F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight")))
+    one, two = totals.values()
+    return one.unionByName(two)
+
+
+@_add("files_round_trip", "SELECT true AS copied, true AS told, 1::BIGINT AS listed, true AS deleted, true AS gone, true AS home")
+def files_round_trip(spark, d):
+    """A local file copied in with progress, listed by pattern and deleted."""
+    folder, told = scratch_path(spark, "files"), []
+    files.copy_from_local(spark, __file__, f"{folder}/copy.txt", lambda name, done: told.append(done), piece=4096)
+    size = spark.read.format("binaryFile").load(f"{folder}/copy.txt").first()["length"]
+    listed = len(files.list_files(spark, f"{folder}/*.txt"))
+    deleted = files.delete(spark, folder)
+    flags = {"copied": told[-1] == size, "told": len(told) > 1 and told == sorted(told), "listed": listed, "deleted": deleted, "gone": not files.list_files(spark, f"{folder}/*"), "home": bool(files.user_name(spark))}
+    return spark.range(1).select(*[F.lit(v).cast("long" if k == "listed" else "boolean").alias(k) for k, v in flags.items()])
+
+
 @_add("edge_sample_hash")
 def edge_sample_hash(spark, d):
     edges = model.canonical(graph(spark, d, "full"))

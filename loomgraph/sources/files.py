@@ -12,14 +12,31 @@ def _at(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def copy_from_local(spark: SparkSession, local: str, target: str, progress: Callable[[str], None] | None = None) -> None:
-    """Copy a local file or folder; ``progress`` is told each file's name as it is done."""
-    source = spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}" if local.startswith("/") else local)
-    path, fs = _at(spark, target)
-    fs.copyFromLocalFile(False, True, source, path)
-    if progress:
-        for name in list_files(spark, f"{target}"):
-            progress(name)
+def copy_from_local(spark: SparkSession, local: str, target: str, progress: Callable[[str, int], None] | None = None, piece: int = 8 << 20) -> None:
+    """Copy a local file or folder; ``progress`` is told a file's name and its bytes so far after each piece."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(f"file://{local}" if local.startswith("/") else local)
+    here = source.getFileSystem(conf)
+    path, there = _at(spark, target)
+
+    def copy(origin, goal) -> None:
+        status = here.getFileStatus(origin)
+        if status.isDirectory():
+            there.mkdirs(goal)
+            for x in here.listStatus(origin):
+                copy(x.getPath(), jvm.org.apache.hadoop.fs.Path(goal, x.getPath().getName()))
+            return
+        done, reader, writer = 0, here.open(origin), there.create(goal, True)
+        try:
+            while done < status.getLen():
+                done += jvm.org.apache.commons.io.IOUtils.copyLarge(reader, writer, 0, min(piece, status.getLen() - done))
+                if progress:
+                    progress(goal.toString(), done)
+        finally:
+            reader.close()
+            writer.close()
+
+    copy(source, path)
 
 
 def delete(spark: SparkSession, path: str) -> bool:

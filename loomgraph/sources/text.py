@@ -57,8 +57,8 @@ def read_adjacency(spark: SparkSession, path) -> DataFrame:
 
 
 def read_sequence_file(spark: SparkSession, path) -> DataFrame:
-    """(key, value) of a SequenceFile of integers and texts."""
-    return spark.sparkContext.sequenceFile(path).map(lambda kv: (int(kv[0]), str(kv[1]))).toDF("key bigint, value string")
+    """(key, value) of a SequenceFile of integers and texts; Spark reads the format through its RDD interface only."""
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path), "key bigint, value string", verifySchema=False)
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:

@@ -32,7 +32,7 @@ FIXED = {
 @pytest.mark.parametrize("name", FIXED)
 def test_fixed(name):
     edges, size = FIXED[name]
-    assert len(maximum_pairs(edges)) == size
+    assert len(maximum_pairs(edges)[0]) == size
 
 
 def test_random_graphs():
@@ -40,7 +40,40 @@ def test_random_graphs():
     for _ in range(400):
         n = rng.randrange(2, 9)
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 14))]
-        got = maximum_pairs(edges)
+        got, barrier = maximum_pairs(edges)
         ends = [x for e in {tuple(sorted(e)) for e in got} for x in e]
         assert len(ends) == len(set(ends)) and all(e in edges for e in got)
         assert len(ends) // 2 == best([tuple(sorted(e)) for e in edges]), edges
+        assert len(ends) // 2 == bound(edges, set(barrier)), edges
+
+
+def bound(edges, barrier):
+    """(vertices + barrier - odd components without it) / 2."""
+    names = {x for e in edges for x in e}
+    left, odd = names - barrier, 0
+    while left:
+        part, more = set(), {left.pop()}
+        while more:
+            part |= more
+            more = {y for e in edges for x, y in (e, e[::-1]) if x in more} - part - barrier
+        left -= part
+        odd += len(part) % 2
+    return (len(names) + len(barrier) - odd) // 2
+
+
+def test_larger_graphs_of_odd_cycles_are_proven():
+    rng = random.Random(5)
+    for _ in range(20):
+        edges = [(a, (a + rng.choice([1, 2, 3, 40])) % 150) for a in range(150) for _ in range(2) if rng.random() < 0.6]
+        pairs, barrier = maximum_pairs(edges)
+        assert len({frozenset(e) for e in pairs}) == bound(edges, set(barrier))
+
+
+def test_cost_follows_the_tree():
+    """Many separate paths: a search touches its own only."""
+    import time
+
+    edges = [(3 * i + j, 3 * i + j + 1) for i in range(60_000) for j in range(2)]
+    began = time.time()
+    assert len(maximum_pairs(edges)[0]) == 60_000
+    assert time.time() - began < 20

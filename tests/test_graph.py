@@ -142,6 +142,37 @@ def test_bfs(spark, budget):
     assert dict(tuples(bfs.bfs(df, sources.where("vertex = 4"), directed=True, budget=budget))) == {i: i - 4 for i in range(4, 10)}
 
 
+@pytest.mark.parametrize("budget", [0, 1000])
+@pytest.mark.parametrize("directed", [False, True])
+def test_bfs_from_distances_of_their_own(spark, budget, directed):
+    arcs = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5)]
+    starts = [(0, 3), (20, 0), (9, 6), (100, 50), (0, 7), (200, None)]
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        if not directed:
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for v, d in starts:
+        level, d = {v}, d or 0
+        seen = set()
+        while level:
+            for x in level:
+                want[x] = min(want.get(x, 999), d)
+            seen |= level
+            level, d = {y for x in level for y in near.get(x, ())} - seen, d + 1
+    edges, sources = spark.createDataFrame(arcs, "src long, dst long"), spark.createDataFrame(starts, "vertex long, distance int")
+    assert dict(tuples(bfs.bfs(edges, sources, directed=directed, budget=budget))) == want
+
+
+@pytest.mark.parametrize("budget", [0, 1000])
+def test_bfs_records_go_on_from_their_distance(spark, budget):
+    rows = [(1, [2], 3, "GRAY"), (2, [3], None, "WHITE"), (4, [5], 1, "BLACK"), (6, [4, 2], None, "GRAY"), (5, [], None, "WHITE")]
+    df = spark.createDataFrame(rows, "id long, edges array<long>, distance int, color string")
+    got = {r["id"]: (r["distance"], r["color"]) for r in bfs.bfs_records(df, budget).collect()}
+    assert got == {1: (3, "BLACK"), 2: (1, "BLACK"), 3: (2, "BLACK"), 4: (1, "BLACK"), 5: (None, "WHITE"), 6: (None, "BLACK")} | {6: (0, "BLACK")}
+
+
 def test_bfs_records(spark):
     rows = [(1, [2, 3], 0, "GRAY"), (2, [], None, "WHITE"), (5, [1], None, "WHITE"), (6, [7], 0, "GRAY")]
     df = spark.createDataFrame(rows, "id long, edges array<long>, distance int, color string")

@@ -4,7 +4,8 @@ import pytest
 
 from loomgraph.plans import store
 from loomgraph.sources import files, text
-from loomgraph.streaming.sketch import streaming_buckets
+from loomgraph.operators.sketch import pcsa_buckets
+from loomgraph.streaming.sketch import streaming_buckets, windowed_buckets
 
 
 def test_weighted_edges_round_trip(spark, tmp_path):
@@ -47,14 +48,26 @@ def test_sequence_file(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "x").write_text("1")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a").write_text("1" * 2500)
+    (tmp_path / "x" / "b").write_text("")
     seen = []
-    files.copy_from_local(spark, str(tmp_path / "x"), str(tmp_path / "y"), seen.append)
-    assert len(seen) == 1 and (tmp_path / "y").read_text() == "1"
+    files.copy_from_local(spark, str(tmp_path / "x"), str(tmp_path / "y"), lambda name, done: seen.append((name[-1], done)), piece=1000)
+    assert seen == [("a", 1000), ("a", 2000), ("a", 2500)] and (tmp_path / "y" / "a").read_text() == "1" * 2500 and (tmp_path / "y" / "b").read_text() == ""
     assert files.delete(spark, str(tmp_path / "y")) and not files.delete(spark, str(tmp_path / "y"))
     assert files.user_name(spark)
 
 
+def test_scratch_scope(spark):
+    with store.scratch_scope(spark) as keep:
+        one = store.materialize(spark.range(3))
+        two = keep(store.materialize(spark.range(4)))
+        assert one.count() == 3
+    assert two.count() == 4
+    with pytest.raises(Exception, match="(?i)not.?found|does not exist"):
+        one.collect()
+
+
 def test_scratch_tables(spark):
     df = store.materialize(spark.range(5).toDF("x"))
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().toString()
@@ -74,3 +87,21 @@ def test_streaming_sketch(spark, tmp_path):
         assert spark.table("buckets").count() == 4
     finally:
         query.stop()
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id as value", "timestamp_seconds(id) as at")
+    rows.where("value < 300").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    rows.where("value >= 300").coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    stream = spark.readStream.schema("value long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = windowed_buckets(stream, 4, "at", "60 seconds", "10 seconds").writeStream.outputMode("append").format("memory").queryName("windows").start()
+    try:
+        query.processAllAvailable()
+        got = {(r["start"].timestamp(), r["bucket"], r["bm"], r["r"]) for r in spark.table("windows").collect()}
+    finally:
+        query.stop()
+    want = set()
+    for first in range(0, 540, 60):  # the last window is still open
+        part = rows.where(f"value >= {first} and value < {first + 60}").select("value")
+        want |= {(float(first), r["bucket"], r["bm"], r["r"]) for r in pcsa_buckets(part, [4]).collect()}
+    assert got == want
