@@ -61,12 +61,13 @@ def bfs(edges: DataFrame, sources: DataFrame, directed: bool = False, budget: in
         return starts
     depth, began = depths.pop(0), time.time()
     level = materialize(starts.where(F.col("distance") == depth), "level")
-    seen, levels = level, [level]
+    seen, levels, turn = level, [level], 0
     # A neighbour of an undirected level lies at most one level from it, so two levels tell what is new.
     brief = not directed and not depths
     while max_depth is None or depth < max_depth:
+        turn += 1
         if stats is not None:
-            stats.append(RunStats("bfs", len(levels), arcs.count(), matched=level.count(), seconds=time.time() - began))
+            stats.append(RunStats("bfs", turn, arcs.count(), matched=level.count(), seconds=time.time() - began))
             began = time.time()
         depth += 1
         new = level.join(arcs, level["vertex"] == arcs["u"]).select(F.col("v").alias("vertex")).distinct()

@@ -58,7 +58,11 @@ def spanning_forest(edges: DataFrame, budget: int = BUDGET, stats: list | None =
             stats.append(RunStats("spanning_forest", len(found), n, matched=picks.count(), remaining=fresh.count(), seconds=time.time() - began))
         discard(rest)
         rest = fresh
-    found.append(rest.coalesce(1).mapInPandas(_kruskal, f"weight {kind}, src long, dst long"))
+    began, last = time.time(), rest.coalesce(1).mapInPandas(_kruskal, f"weight {kind}, src long, dst long")
+    if stats is not None:
+        last = materialize(last, "picks")
+        stats.append(RunStats("spanning_forest", len(found) + 1, n, matched=last.count(), remaining=0, seconds=time.time() - began))
+    found.append(last)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

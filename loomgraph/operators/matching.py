@@ -71,7 +71,11 @@ def maximal_matching(edges: DataFrame, budget: int = BUDGET, order: str = "weigh
         rest = fresh
         if stats is not None:
             stats.append(RunStats("maximal_matching", len(found), n, matched=picks.count(), remaining=rest.count(), seconds=time.time() - began))
-    return _union([*found, _finish(rest)])
+    began, last = time.time(), _finish(rest)
+    if stats is not None:
+        last = materialize(last, "picks")
+        stats.append(RunStats("maximal_matching", len(found) + 1, n, matched=last.count(), remaining=0, seconds=time.time() - began))
+    return _union([*found, last])
 
 
 def maximal_matching_by_filtering(edges: DataFrame, budget: int = 25_000, seed: int = 1, order: str = "weight", stats: list | None = None) -> DataFrame:

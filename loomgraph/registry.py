@@ -443,7 +443,7 @@ def run_statistics(spark, d):
     search.bfs(edges, _first(edges), stats=rows).count()
     sketch.estimate_reachable(graph(spark, d, "directed"), 16, budget=0, stats=rows).count()
     told = stats_frame(spark, rows).groupBy("operator")
-    return told.agg(((F.min("round") == 1) & (F.max("round") == F.count(F.lit(1))) & (F.min("input_edges") >= 0) & (F.max("input_edges") > 0)).alias("complete"))
+    return told.agg(((F.min("round") == 1) & (F.max("round") == F.countDistinct("round")) & (F.min("input_edges") >= 0) & (F.max("input_edges") > 0)).alias("complete"))
 
 
 # Sources and sinks: what is written in the scratch folder and read again.
