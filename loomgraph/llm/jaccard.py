@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ BLOCK = 512  # members of a cell's block, about; a member weighs 1 and 1 more fo
 LEADERS = 3  # that a member is measured against; the cells that follow are exact with any
 EMIT = 200_000
 CELLS = 256  # hash cells whose counts bound the distance of two sets from below
+PARITY = [f"p{i}" for i in range(8)]  # words with a bit for each of 512 hash cells, set if its count is odd; bits that differ bound the distance too
 SKETCH_BITS, SKETCH_PARTS = 20, 256
 
 
@@ -73,30 +75,31 @@ def _counter(s: np.ndarray) -> np.ndarray:
 
 
 def _info(k: int):
-    """(doc_id, n, h1, h2) of each document, and at the end of a task its counters as (part, counts)."""
-    names = ["doc_id", "n", "h1", "h2", "part", "counts"]
+    """(doc_id, n, h1, h2, parity) of each document, and at the end of a task its counters as (part, counts)."""
+    names = ["doc_id", "n", "h1", "h2", *PARITY, "part", "counts"]
 
     def run(batches):
         total, held, rows = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            h = np.zeros((2, batch.num_rows), np.int64)
+            h = np.zeros((2 + len(PARITY), batch.num_rows), np.int64)
             for i, s in _sets(batch, k):
                 n[i] = len(s)
                 if len(s):
-                    h[:, i] = _key(s)
+                    h[:2, i] = _key(s)
+                    h[2:, i] = np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.int64)
                     held.append(s)
                     rows += len(s)
                     if rows > EMIT:
                         total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
                         held, rows = [], 0
             blank = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[0]), pa.array(h[1]), *blank], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(pa.array, h), *blank], names)
         if held:
             total += np.bincount(_counter(np.concatenate(held)), minlength=len(total))
         parts = np.minimum(total, 65535).astype(np.uint16).reshape(SKETCH_PARTS, -1)  # what saturates is common anyhow
         some = np.flatnonzero(parts.any(axis=1))
-        blank = [pa.nulls(len(some), pa.int64()) for _ in range(4)]
+        blank = [pa.nulls(len(some), pa.int64()) for _ in names[:-2]]
         yield pa.RecordBatch.from_arrays([*blank, pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names)
 
     return run
@@ -315,9 +318,9 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with scratch_scope(spark) as keep:
-        info = keep(materialize(docs.mapInArrow(_info(k), "doc_id long, n long, h1 long, h2 long, part int, counts binary"), "sets"))
-        sets = info.where("part is null").select("doc_id", "n", "h1", "h2")
-        classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
+        info = keep(materialize(docs.mapInArrow(_info(k), ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", *PARITY)) + ", part int, counts binary"), "sets"))
+        sets = info.where("part is null").drop("part", "counts")
+        classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)])
         classes = keep(materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes"))
         with scratch_scope(spark) as keep_links:
             links, degrees = _Join(docs, classes, _levels(info), k, num, den).run(keep_links)
@@ -331,6 +334,11 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
 
+def odd_bits(x: list[str], y: list[str]) -> Column:
+    """How many cells are odd in one of two sets alone: two such sets differ in so many elements at least."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(x, y)])
+
+
 class _Join:
     """The links between classes: enough to join every component, and the number of each class's links."""
 
@@ -338,23 +346,24 @@ class _Join:
         self.docs, self.classes, self.packed, self.k, self.num, self.den = docs, classes, packed, k, num, den
 
     def regions(self) -> DataFrame:
-        """(sig, cls, n, i): the classes whose prefix shares element sig with another, and its place there."""
+        """(sig, cls, n, i, parity): the classes whose prefix shares element sig with another, and its place there."""
         emit = lambda whole: self.docs.mapInArrow(_emit(self.k, self.num, self.den, self.packed, whole), "sig long, h1 long" + ", h2 long, n long, i long" * whole)
         # Least and greatest are partial aggregates, so no task holds the rows of a common element.
         shared = emit(False).groupBy("sig").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("sig")
         shared = materialize(shared, "shared")
         again = emit(True).where(maybe_in(F.col("sig"), shared.withColumnRenamed("sig", "key"))).distinct()
-        rows = again.join(shared, "sig", "left_semi").join(self.classes.select("h1", "h2", "cls"), ["h1", "h2"])
-        out = materialize(rows.select("sig", "cls", "n", "i"), "regions")
+        rows = again.join(shared, "sig", "left_semi").join(self.classes.select("h1", "h2", "cls", *PARITY), ["h1", "h2"])
+        out = materialize(rows.select("sig", "cls", "n", "i", *PARITY), "regions")
         free_shuffles(self.docs.sparkSession)
         return out
 
     def pairs(self, small: DataFrame) -> DataFrame:
-        """(a, b, size): pairs of small regions that pass the size and positional filters."""
-        x, y = (small.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "i")]) for s in "ab")
+        """(a, b, size): pairs of small regions that pass the size and positional filters and the bound by parities."""
+        x, y = (small.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "i", *PARITY)]) for s in "ab")
         size = F.greatest("n_a", "n_b") * self.num <= F.least("n_a", "n_b") * self.den
         rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) * (self.num + self.den) >= (F.col("n_a") + F.col("n_b")) * self.num
-        met = x.join(y, "sig").where((F.col("cls_a") < F.col("cls_b")) & size & rest)
+        near = self.linked(odd_bits([f"{c}_a" for c in PARITY], [f"{c}_b" for c in PARITY]), F.col("n_a") + F.col("n_b"))
+        met = x.join(y, "sig").where((F.col("cls_a") < F.col("cls_b")) & size & rest & near)
         return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("size")).distinct()
 
     def fetch(self, wanted: DataFrame, whole: bool) -> DataFrame:
@@ -381,7 +390,7 @@ class _Join:
         """((a, b) links that join all components, (cls, n_links) to be summed)."""
         regions = self.regions()
         loads = materialize(regions.groupBy("sig").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > SMALL).select("sig"), "loads")
-        large = materialize(regions.join(loads, "sig", "left_semi").select("sig", "cls", "n", "i"), "large")
+        large = materialize(regions.join(loads, "sig", "left_semi"), "large")
         pairs = materialize(self.pairs(regions.join(loads, "sig", "left_anti")), "pairs")
         counts = self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(large.select("cls")), False)
         free_shuffles(self.docs.sparkSession)
@@ -430,13 +439,14 @@ class _Join:
         order = F.struct(F.coalesce("yields", F.lit(0)).alias("yields"), (F.col("d") / F.col("size")).alias("share"), "b", "d")
         best = ranked.groupBy(F.col("a").alias("cls")).agg(F.min(order).alias("best"))
         home = materialize(best.select("cls", F.col("best.b").alias("cell"), F.col("best.d").alias("d")).join(sizes, "cls"), "home")
-        homes = large.join(home.select("cls", "cell"), "cls").select("sig", "cls", "cell", "n", (F.col("n") - F.col("i")).alias("rest"))
-        there = homes.groupBy("sig", F.col("cell").alias("into")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"))
+        homes = large.join(home.select("cls", "cell"), "cls").select("sig", "cls", "cell", "n", (F.col("n") - F.col("i")).alias("rest"), *PARITY)
+        there = homes.groupBy("sig", F.col("cell").alias("into")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"), *[F.first(c).alias(f"{c}_b") for c in PARITY])
         # The size and positional filters, as far as they hold for every member of a cell together.
         least = F.greatest(F.col("low") * self.den, F.col("n") * self.num) + F.col("n") * self.den
         fits = (F.col("high") * self.den >= F.col("n") * self.num) & (F.col("low") * self.num <= F.col("n") * self.den)
         fits &= (F.col("rest") * self.den * (self.num + self.den) >= least * self.num) & (F.col("room") * (self.num + self.den) >= (F.col("low") + F.col("n")) * self.num)
-        visits = materialize(homes.join(there, "sig").where((F.col("into") < F.col("cell")) & fits).select("cls", F.col("into").alias("cell")).distinct(), "visits")
+        near = (F.col("rows") > 1) | self.linked(odd_bits(PARITY, [f"{c}_b" for c in PARITY]), F.col("n") + F.col("low"))
+        visits = materialize(homes.join(there, "sig").where((F.col("into") < F.col("cell")) & fits & near).select("cls", F.col("into").alias("cell")).distinct(), "visits")
         reach = home.groupBy("cell").agg(F.max("d").alias("most"), F.max("n").alias("largest"))
         guests = self.apart(sized(visits.select(F.col("cls").alias("a"), F.col("cell").alias("b"))), counts).select(F.col("a").alias("cls"), F.col("b").alias("cell"), "d")
         guests = guests.join(sizes, "cls").join(reach, "cell")

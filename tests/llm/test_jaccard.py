@@ -107,7 +107,7 @@ def test_common_elements_come_last(spark):
     rng = random.Random(2)
     passage = " ".join(f"p{i}" for i in range(30))
     rows = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(200)]
-    info = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(jaccard._info(3), "doc_id long, n long, h1 long, h2 long, part int, counts binary")
+    info = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(jaccard._info(3), "doc_id long, n long, h1 long, h2 long, " + "".join(f"{c} long, " for c in jaccard.PARITY) + "part int, counts binary")
     levels = np.frombuffer(zlib.decompress(jaccard._levels(info)), np.uint8)
     common = distinct(shingles(next(words(pa.array([passage])))[1], 3))
     assert (levels[jaccard._counter(common)] > 0).all() and np.count_nonzero(levels) <= len(common)
