@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.plans.store import materialize
+from loomgraph.plans.store import materialize, scratch_scope
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 SHARE_NUM, SHARE_DEN = 3, 2  # all targets together: 150 % of all sizes
 CAP = 2  # a target stops at so many times its source's size
+CUTS = 50_000  # rows of about 200 bytes that are broadcast to deal texts out
 BUCKET_DIGITS = 3  # hex digits of the hash that name a bucket: 4,096 a source
 
 
@@ -70,60 +71,112 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
     return F.least(F.greatest(root, F.lit(0.0)), F.lit(1.0))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
-    """One row for each row of ``df``: (doc_id, size, source_size, target, taken, position, second_position).
+ORDER = ("_h", "doc_id", "_crc", "size")  # of the documents of a source
 
-    ``taken`` counts words, repeats included: whole epochs of the source, then the words
-    up to the exact rest of the (rounded) target, so a source's taken words sum to its
-    rounded target and no document exceeds CAP times its size.  Null text has size 0 and
-    is never drawn.  Rows that repeat a doc_id are ordered by the text's crc32; the result
-    does not depend on partitioning, and equal rows are interchangeable.  With ``carry``
-    the rows keep all columns of ``df``, in a struct ``row``.
-    """
-    narrow = df.select(
+
+def _stated(df: DataFrame, id_col: str, text: str, source: str, carry: bool) -> DataFrame:
+    """What the mix needs of each row; with ``carry`` all columns of ``df`` too, in a struct ``row``."""
+    return df.select(
         F.col(id_col).alias("doc_id"), word_count(F.col(text).cast("string")).alias("size"),
         # A key that is never null, so that the window and the join share one partitioning.
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")).alias("_s"),
         F.coalesce(F.crc32(F.col(text).cast("string")), F.lit(-1)).alias("_crc"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"),
         *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []),
     )
-    rows = narrow.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    if not carry:
-        rows = materialize(rows, "mix")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add to stated rows the source's plan, the offset ``_at`` of their words in it, and ``_peer``, the least offset of rows of equal order."""
+    rows = rows.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
     sums = materialize(rows.groupBy("_s", "_b").agg(F.sum("size").alias("_sum")), "sums")
     name = F.when(F.col("_s") != "-", F.expr("substring(_s, 2)"))
     sizes = sums.groupBy("_s").agg(F.sum("_sum").alias("source_size")).withColumn("source", name)
     # One row for each source and bucket: at most 4,096 a source.
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     plan = starts.join(source_targets(sizes), "_s").select("_s", "_b", "_start", "source_size", "target", "slope")
-    inner = W.partitionBy("_s", "_b").orderBy("_h", "doc_id", "_crc", "size").rowsBetween(W.unboundedPreceding, -1)
-    within = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = within.join(plan, ["_s", "_b"]).withColumn("_at", F.col("_in") + F.col("_start"))
+    inner = W.partitionBy("_s", "_b").orderBy(*ORDER)
+    within = rows.withColumn("_in", F.coalesce(F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = within.withColumn("_peer", F.min("_in").over(inner.rangeBetween(W.currentRow, W.currentRow)))
+    return within.join(plan, ["_s", "_b"]).withColumns({"_at": F.col("_in") + F.col("_start"), "_peer": F.col("_peer") + F.col("_start")}).drop("_b", "_in", "_start")
+
+
+def _taken(placed: DataFrame) -> DataFrame:
+    """Add to placed rows the words taken and the training positions."""
     want = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = want - epochs * F.col("source_size")
-    out = placed.withColumns({
-        "_epochs": epochs,
-        "_part": F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_at"))),
-    }).withColumn("taken", F.col("_epochs") * F.col("size") + F.col("_part"))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), want - epochs * F.col("source_size") - F.col("_at")))
+    out = placed.withColumn("taken", epochs * F.col("size") + part)
     first = F.when(F.col("taken") > 0, position(F.col("_at").cast("double"), F.col("target"), F.col("slope")))
     second = F.when(F.col("taken") > F.col("size"), position((F.col("_at") + F.col("source_size")).cast("double"), F.col("target"), F.col("slope")))
-    return out.withColumns({"position": first, "second_position": second}).drop("_s", "_b", "_in", "_start", "_epochs", "_part", "_at", "slope")
+    return out.withColumns({"position": first, "second_position": second})
+
+
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """One row for each row of ``df``: (doc_id, size, source_size, target, taken, position, second_position).
+
+    ``taken`` counts words, repeats included: whole epochs of the source, then the words
+    up to the exact rest of the (rounded) target, so a source's taken words sum to its
+    rounded target and no document exceeds CAP times its size.  Null text has size 0 and
+    is never drawn.  Rows that repeat a doc_id are ordered by the text's crc32; the result
+    does not depend on partitioning, and equal rows are interchangeable.  With ``carry``
+    the rows keep all columns of ``df``, in a struct ``row``.
+    """
+    rows = _stated(df, id_col, text, source, carry)
+    if not carry:
+        rows = materialize(rows, "mix")
+    return _taken(_placed(rows)).drop("_s", "_at", "_peer", "slope")
+
+
+def _draws() -> Column:
+    """The times that a document is trained on: (epoch, at), once for each epoch that takes at least half of its words."""
+    half = lambda words: 2 * words >= F.col("size")
+    draw = lambda epoch, at: F.struct(F.lit(epoch).alias("epoch"), F.col(at).alias("at"))
+    return F.array_compact(F.array(
+        F.when((F.col("size") > 0) & half(F.least("taken", "size")), draw(0, "position")),
+        F.when((F.col("taken") > F.col("size")) & half(F.col("taken") - F.col("size")), draw(1, "second_position")),
+    ))
+
+
+def _cuts(df: DataFrame, parts: int) -> DataFrame:
+    """Which documents of each source and epoch come in each of ``parts`` equal spans of the training time.
+
+    (_s, epoch, part, first, last, start, source_size, target, slope): the first and last of
+    them in the source's order, and the offset at which they start.  Rows of equal order go
+    to one part, so a cut never lies between them.
+    """
+    placed = _taken(_placed(materialize(_stated(df, "doc_id", "text", "source", False), "mix")))
+    drawn = placed.withColumn("d", F.explode(_draws()))
+    offset = F.col("_peer") + F.col("d.epoch") * F.col("source_size")
+    part = F.least(F.floor(position(offset.cast("double"), F.col("target"), F.col("slope")) * parts), F.lit(parts - 1)).cast("int")
+    spans = drawn.groupBy("_s", F.col("d.epoch").alias("epoch"), part.alias("part"))
+    return spans.agg(F.min(F.struct(*ORDER)).alias("first"), F.max(F.struct(*ORDER)).alias("last"), F.min("_peer").alias("start"), *[F.first(c).alias(c) for c in ("source_size", "target", "slope")])
 
 
 def mixed_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as the mix trains on them, range-sorted by training position.
 
     A document comes once for each epoch that takes at least half of its words, so it is
-    left out, stays, or comes twice; its columns are those of ``df``.
+    left out, stays, or comes twice; its columns are those of ``df``.  Positions grow with a
+    source's order, so the spans of training time that the partitions hold are spans of each
+    source's order, and texts are shuffled once, straight to their place.
     """
-    mixed = mix_sources(df, carry=True)
-    half = lambda words: 2 * words >= F.col("size")
-    drawn = F.array_compact(F.array(
-        F.when((F.col("size") > 0) & half(F.least("taken", "size")), F.col("position")),
-        F.when((F.col("taken") > F.col("size")) & half(F.col("taken") - F.col("size")), F.col("second_position")),
-    ))
-    return mixed.select("row", "_h", "_crc", F.explode(drawn).alias("at")).sort("at", "_h", "_crc").select("row.*")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch_scope(spark) as keep:
+        cuts = keep(materialize(_cuts(df, parts), "cuts"))
+    few = cuts.count() <= CUTS
+    rows = _stated(df, "doc_id", "text", "source", True)
+    if not few:  # too many sources to send to every task: one shuffle for the offsets, one for the order
+        mixed = _taken(_placed(rows)).withColumn("d", F.explode(_draws()))
+        return mixed.select("row", "_h", "_crc", F.col("d.at").alias("at")).sort("at", "_h", "_crc").select("row.*")
+    digits = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
+    spread = cuts.withColumn("_b", F.explode(F.sequence(digits(F.col("first._h")), digits(F.col("last._h")))))  # 256 buckets a source at most, and one for each cut
+    met = rows.withColumn("_b", digits(F.col("_h"))).join(F.broadcast(spread), ["_s", "_b"]).where(F.struct(*ORDER).between(F.col("first"), F.col("last")))
+    there = met.repartitionById(parts, F.col("part"))
+    before = W.partitionBy("part", "_s", "epoch").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    placed = there.withColumn("_at", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    drawn = _taken(placed).withColumn("d", F.explode(_draws())).where(F.col("d.epoch") == F.col("epoch"))
+    return drawn.select("row", "_h", "_crc", F.col("d.at").alias("at")).sortWithinPartitions("at", "_h", "_crc").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

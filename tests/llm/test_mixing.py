@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from loomgraph.llm import mixing
@@ -64,3 +65,30 @@ def test_mixed_documents_keep_columns(spark):
     assert out.columns == df.columns and out.count() > 0
     empty = spark.createDataFrame([], "doc_id long, text string, source string, target double")
     assert mixing.mixed_documents(empty).count() == 0 and mixing.mix_sources(empty).count() == 0
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rows = [(1, "w " * 600_000, "a", 5, 7.0, "h"), (2, "x y z", "a", 5, 7.0, "h"), (2, "x y z", "a", 5, 7.0, "h"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target double, _h string")
+    out = mixing.mix_sources(df).collect()
+    assert sorted(r["size"] for r in out) == [0, 3, 3, 600_000] and sum(r["taken"] for r in out) == 900_009
+    kept = mixing.mixed_documents(df)
+    assert kept.columns == df.columns and {r["size"] for r in kept.collect()} == {5}
+
+
+def test_texts_are_shuffled_once_to_the_same_order(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i if i % 9 else None, "w " * rng.randrange(40), f"s{i % 5}" if i % 11 else None, i) for i in range(1500)]
+    rows += [(7, "same text", "s1", -1)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    once = mixing.mixed_documents(df)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+    monkeypatch.setattr(mixing, "CUTS", 0)
+    # Rows that repeat are interchangeable, so columns that the order doesn't know don't count.
+    plain = lambda x: [(r["doc_id"], r["text"], r["source"]) for r in x.collect()]
+    one, two = plain(once), plain(mixing.mixed_documents(df))
+    assert sorted(one, key=str) == sorted(two, key=str) and len(one) > 1500
+    apart = [abs(i - two.index(x)) for i, x in enumerate(one) if one.count(x) == 1]
+    assert max(apart) <= 300  # rows of equal order aren't cut, all others are in their place
+    assert sum(x > 0 for x in apart) < 0.35 * len(apart)
