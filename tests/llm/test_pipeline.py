@@ -53,3 +53,27 @@ def test_stages(spark):
 
     assert sorted(r["doc_id"] for r in final) == sorted(r["doc_id"] for r in rows["sharding"])
     assert {r["shard"] for r in final} == set(range(corpus_pipeline.SHARDS))
+
+
+def run_all(spark, docs):
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, DATA))
+        if name != "sharding":
+            assert docs.columns == before.columns
+        sizes.append(docs.count())
+    return docs, sizes
+
+
+def test_empty_table(spark):
+    assert run_all(spark, spark.read.parquet(f"{DATA}/documents.parquet").limit(0))[1] == [0] * 5
+
+
+def test_null_ids_repeats_and_clashing_names(spark):
+    """Null ids stay through every stage; equal rows become one; further columns are carried along."""
+    base = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(60)
+    odd = base.selectExpr("if(doc_id % 7 = 0, null, doc_id) as doc_id", "if(doc_id % 11 = 0, null, text) as text", "lang", "if(doc_id % 5 = 0, null, source) as source", "n_chars",
+                          "1 as size", "'s' as shard", "2.0 as component_id", "'k' as key", "false as kept", "map('a', 1) as more")
+    docs, sizes = run_all(spark, odd.unionByName(odd.where("doc_id % 3 = 0")))
+    assert sizes[0] > 0 and sizes[1] <= sizes[0] and docs.where("doc_id is null").count() > 0
+    assert docs.columns == ["doc_id", "text_crc32", "size", "shard", "slot"]
