@@ -321,14 +321,16 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
         info = keep(materialize(docs.mapInArrow(_info(k), ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", *PARITY)) + ", part int, counts binary"), "sets"))
         sets = info.where("part is null").drop("part", "counts")
         classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)])
-        classes = keep(materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes"))
+        classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
         with scratch_scope(spark) as keep_links:
             links, degrees = _Join(docs, classes, _levels(info), k, num, den).run(keep_links)
         roots = label_nodes(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("root"))
         some = materialize(classes.select("cls", "class_id").join(roots, "cls").join(degrees.groupBy("cls").agg(F.sum("n_links").alias("n_links")), "cls", "left"), "linked")
         tops = some.groupBy("root").agg(F.min("class_id").alias("component_id"))
-        whole = keep(materialize(classes.join(some.join(tops, "root").select("cls", "component_id", "n_links"), "cls").select("h1", "h2", "component_id", "n_links"), "whole"))
-    named = classes.select("h1", "h2", "class_id").join(whole, ["h1", "h2"], "left").withColumns({"component_id": F.coalesce("component_id", "class_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+        joined = materialize(some.join(tops, "root").select("cls", "component_id", "n_links"), "joined")
+        whole = classes.select("h1", "h2", "cls", "class_id").join(joined, "cls", "left")
+        # Written, so that a hot class's rows can be split in the join that follows.
+        named = keep(materialize(whole.select("h1", "h2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named"))
     out = sets.join(named, ["h1", "h2"], "left")
     own = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
