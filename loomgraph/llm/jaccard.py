@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -49,7 +50,8 @@ from loomgraph.plans.store import free_shuffles, materialize, scratch_scope, shi
 SMALL = 64  # members of a region whose pairs are tested one by one
 BLOCK = 512  # members of a cell's block, about; a member weighs 1 and 1 more for each 1,024 elements it differs in
 LEADERS = 3  # that a member is measured against; the cells that follow are exact with any
-EMIT = 200_000
+EMIT = 100_000
+BATCH = 1000  # rows that go to Python at once, so that a worker holds a few MB of texts
 CELLS = 256  # hash cells whose counts bound the distance of two sets from below
 PARITY = [f"p{i}" for i in range(8)]  # words with a bit for each of 512 hash cells, set if its count is odd; bits that differ bound the distance too
 SKETCH_BITS, SKETCH_PARTS = 20, 256
@@ -150,7 +152,7 @@ def _emit(k: int, num: int, den: int, packed: bytes, whole: bool):
             for _, s in _sets(batch, k):
                 if not len(s) or (key := _key(s)) in seen:
                     continue
-                if len(seen) >= 100_000:  # what is forgotten is emitted again, which does no harm
+                if len(seen) >= 20_000:  # what is forgotten is emitted again, which does no harm
                     seen.clear()
                 seen.add(key)
                 sig.append(prefix(s, num, den, levels))
@@ -279,9 +281,9 @@ def _hopeful_blocks(num: int, den: int):
         cls, n, _, asked = _block(group)
         x = _counts(group.column("diff").combine_chunks())
         some = np.zeros(len(cls), bool)
-        for i in range(0, len(cls), 32):
-            far = np.abs(x[i : i + 32, None, :] - x[None, :, :]).sum(axis=2)
-            some[i : i + 32] = (asked[i : i + 32] & ((den + num) * far <= (den - num) * (n[i : i + 32, None] + n[None, :]))).any(axis=1)
+        for i in range(0, len(cls), 8):
+            far = np.abs(x[i : i + 8, None, :] - x[None, :, :]).sum(axis=2)
+            some[i : i + 8] = (asked[i : i + 8] & ((den + num) * far <= (den - num) * (n[i : i + 8, None] + n[None, :]))).any(axis=1)
         return group.select(["cell", "cls"]).filter(pa.array(some))
 
     return run
@@ -304,6 +306,18 @@ def _test_blocks(num: int, den: int):
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Send rows to Python in small batches for as long as the block runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) for each row of ``df``.
 
@@ -317,7 +331,7 @@ def jaccard_components(df: DataFrame, k: int, num: int, den: int, id_col: str =
     spark = df.sparkSession
     ship_package(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    with scratch_scope(spark) as keep:
+    with scratch_scope(spark) as keep, _small_batches(spark):
         info = keep(materialize(docs.mapInArrow(_info(k), ", ".join(f"{c} long" for c in ("doc_id", "n", "h1", "h2", *PARITY)) + ", part int, counts binary"), "sets"))
         sets = info.where("part is null").drop("part", "counts")
         classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), *[F.min(c).alias(c) for c in ("n", *PARITY)])
