@@ -589,7 +589,7 @@ ROWS = {
 for _name, _f in ROWS.items():
     QUERIES[f"{_name}_rows"] = lambda spark, d, f=_f: f(graph(spark, d, "rows"))
 
-#: One blossom search a component, which must fit a worker: over all lineitem rows, without the orders.
+#: One blossom search a component, whose vertices must fit a worker: over all lineitem rows, without the orders.
 FULL = {
     "maximum_matching_size": lambda e: _size(matching.maximum_matching(e)),
     "edge_cover_maximum_size": lambda e: _size(cover.edge_cover(e, maximum=True)),

@@ -77,3 +77,25 @@ def test_cost_follows_the_tree():
     began = time.time()
     assert len(maximum_pairs(edges)[0]) == 60_000
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("kind", ["odd", "sparse", "bipartite"])
+def test_components_of_more_edges_than_one_task_takes(spark, kind):
+    """All edges count, though a worker gets a core of them only."""
+    from loomgraph.operators import matching
+
+    rng = random.Random(kind)
+    if kind == "odd":
+        edges = {(a, (a + s) % 151) for a in range(151) for s in range(1, 12)}
+    elif kind == "sparse":  # cliques of odd size around few hubs: the barrier isn't empty
+        edges = {(1000 + 7 * i + a, 1000 + 7 * i + b) for i in range(40) for a in range(7) for b in range(a)}
+        edges |= {(h, 1000 + rng.randrange(280)) for h in range(12) for _ in range(60)}
+    else:
+        edges = {(2 * rng.randrange(300) + 1, 2 * rng.randrange(40) + 2) for _ in range(3000)}
+    edges = sorted(edges)
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)], "weight long, src long, dst long")
+    most = len(edges) - 100
+    size = len(maximum_pairs(edges)[0])
+    got = matching.maximum_matching(df, most=most)
+    assert tuple(matching.check_matching(df, got).first()) == (True, True) and got.count() == size
+    assert tuple(matching.maximum_matching_proof(df, most=most).first()) == (size, size)
