@@ -127,6 +127,33 @@ def test_common_elements_come_last(spark):
     assert (levels[jaccard._counter(common)] > 0).all() and np.count_nonzero(levels) <= len(common)
 
 
+def test_elements_of_rare_words_come_first(spark):
+    """Phrases of common words, too few for the sketch to tell, don't make regions of documents that have rare words."""
+    rng = random.Random(12)
+    phrases = [" ".join(f"c{rng.randrange(12)}" for _ in range(8)) for _ in range(40)]
+    rows = [(i, " ".join(f"{rng.choice(phrases)} r{i}x{j}" for j in range(20))) for i in range(60)]
+    twin = rows[0][1].split()
+    rows.append((60, " ".join(twin[:-3])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    info = df.mapInArrow(jaccard._info(5), "doc_id long, n long, h1 long, h2 long, " + "".join(f"{c} long, " for c in jaccard.PARITY) + "part int, counts binary")
+    classes = info.where("n > 0").selectExpr("doc_id as cls", "n", "h1", "h2", *jaccard.PARITY)
+    nothing_common = zlib.compress(np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))
+    regions = jaccard._Join(df, classes, (nothing_common, jaccard._word_ranks(info)), 5, 80, 100).regions()
+    assert {r["cls"] for r in regions.select("cls").collect()} == {0, 60}
+    got = jaccard.jaccard_components(df, 5, 80, 100).where("n_links > 0").collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(0, 0, 1), (60, 0, 1)]
+
+
+def test_the_sieve_of_shared_elements(spark):
+    """It misses none, keeps most others away, and no literal of its size goes to every task."""
+    rng = np.random.default_rng(3)
+    sig = mix(rng.integers(0, 1 << 62, 20_000).astype(np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in sig[:10_000].view(np.int64)], "sig long").repartition(3)
+    held = jaccard._held(sig, np.frombuffer(zlib.decompress(jaccard._sieve(df)), np.uint8))
+    assert held[:10_000].all() and np.count_nonzero(held[10_000:]) < 10
+    assert not np.frombuffer(zlib.decompress(jaccard._sieve(df.limit(0))), np.uint8).any()
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(empty, 3, 90, 100).count() == 0
