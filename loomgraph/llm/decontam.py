@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.wordhash import LETTERS, shingles, words
+from loomgraph.llm.wordhash import LETTERS, shingles, trimmed, words
 from loomgraph.plans.store import materialize, ship_package
 
 WORDS_AN_EDIT = 8
@@ -181,7 +181,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_col:
     ship_package(docs.sparkSession)
     at = docs.columns.index(text)
     for block, last in _blocks(items, item_col, item_text):
-        docs = docs.mapInArrow(_keeper(Matcher(block), at), docs.schema)
+        docs = docs.mapInArrow(trimmed(_keeper(Matcher(block), at)), docs.schema)
         docs = docs if last else materialize(docs, "clean")
     return docs
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -206,3 +207,40 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(w)), (2, " ".join(w[:-500])), (3, " ".join(w[:1000]))]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
     assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got.collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
+
+
+def peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker():
+    """The sketch and the sieve cost a worker some MB, even if a task gets all their parts."""
+    text = [" ".join(f"w{i * j % 997}" for i in range(300)) for j in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(text)], ["doc_id", "text"])
+    assert peak_mb(lambda: [None for _ in jaccard._info(5)([batch])]) < 48
+    spots = next(jaccard._set_spots([pa.RecordBatch.from_arrays([pa.array(np.random.default_rng(1).integers(0, 1 << 63, 20_000))], ["sig"])]))
+    assert len(set(spots.column(0).to_pylist())) == jaccard.SIEVE_PARTS
+    assert peak_mb(lambda: [None for _ in jaccard._fill_parts([spots])]) < 24
+
+
+def test_sketch_and_sieve_parts():
+    """Counts saturate at 255; the parts of the sieve hold the bits that were set and no others."""
+    total, want = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8), np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    rng, same = np.random.default_rng(2), np.arange(300, dtype=np.uint64)
+    for _ in range(9):
+        for s in (same[:40], same + np.uint64(7 << 50), distinct(rng.integers(0, 1 << 63, 5000).astype(np.uint64)), same[:1]):
+            jaccard._tally(total, s)
+            np.add.at(want, jaccard._counter(s), 1)
+    assert want.max() > 255 and (total == np.minimum(want, 255)).all()
+    sig = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    batches = [b for half in (sig[:1500], sig[1000:]) for b in jaccard._set_spots([pa.RecordBatch.from_arrays([pa.array(half.view(np.int64))], ["sig"])])]
+    bits = np.zeros((jaccard.SIEVE_PARTS, (1 << jaccard.SIEVE_BITS) // jaccard.SIEVE_PARTS // 8), np.uint8)
+    for b in jaccard._fill_parts(batches):
+        bits[b.column(0)[0].as_py()] = np.frombuffer(zlib.decompress(b.column(1)[0].as_buffer()), np.uint8)
+    assert (np.flatnonzero(np.unpackbits(bits.ravel())) == np.unique(jaccard._spots(sig))).all()
+    assert jaccard._held(sig, bits.ravel()).all()
